@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import accumulate
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,14 @@ def ascii_lower(text: Column) -> Column:
 def row_key(*cols: Column) -> list[Column]:
     """Two 64-bit hashes that name a row by its content: rows with equal content share them, and a recomputed task finds them again."""
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit("second"), *cols).alias("_k2")]
+
+
+def shingle_hashes(words: list[bytes], n: int, seed: int) -> np.ndarray:
+    """XXH64 of every n-word shingle, words joined by a space; fewer words than n, but not none, are one shingle."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= n:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.array([digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[n - 1 :])], np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash
+from . import decontam, mixing, passages, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.mark_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda x: F.struct(x["s"].alias("start_word"), x["e"].alias("end_word"), x["ref_id"].alias("first_doc_id")))
+    return found.select("doc_id", "n_words", "n_dup_words", spans.alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op5_decontamination, op6_quality, op7_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op5_decontamination, op6_quality, op7_simhash, op8_passages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,15 +22,12 @@ result; other columns play no part.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, small
+from .common import materialize, row_key, shingle_hashes, small
 from .components import connected_components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -47,13 +44,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     words = (text or b"").lower().split()  # both know ASCII only
     if not words:
         return 0
-    joined, n = b" ".join(words), len(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = list(accumulate((len(w) + 1 for w in words)))
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[shingle - 1 :])]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    hashes = shingle_hashes(words, shingle, seed)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
