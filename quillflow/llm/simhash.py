@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = linked.groupBy("root").agg(F.min("least").alias("component"))
     known = labels.join(firsts, "root").select(F.col("node").alias("_fp"), "component")
     classes = least.join(known, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
+    classes = materialize(classes, "classes")  # the last join stands alone, so Spark may split a fingerprint with many copies
     return prints.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "_k1", "_k2", "fp", "component_id")
 
 
