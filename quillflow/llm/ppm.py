@@ -3,7 +3,7 @@
 A text is its words (runs without ASCII white space, A-Z lower-cased) joined by one
 space, then an end symbol.  The model is a trie of byte contexts of up to ORDER
 bytes, learned from all training texts.  A symbol not seen in a context costs an
-escape (method C: as many escapes as distinct symbols) to the next shorter context,
+escape (method D: each distinct symbol gives half a count to the escape) to the next shorter context,
 from whose counts the symbols already refused are excluded; below order 0 the
 remaining symbols of 256 are equally likely.  The log10 code lengths of all
 symbols add up to a document's score.
@@ -41,6 +41,7 @@ GRAM_BLOCK, WORD_BLOCK = 2_000_000, 3_000_000
 #: Bytes of text that are scored at once; distinct grams and words that a training task holds before it sends them on.
 BATCH, HELD = 1 << 21, 2_000_000
 GRAM, WORD = 0, 1
+HALF = 0.5
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -152,10 +153,10 @@ class Trie:
             at = np.minimum(np.searchsorted(g, q), len(g) - 1)
             seen = known & (g[at] == q)
             d = kinds[c] - distinct[todo]
-            whole = total[c] - mass[todo] + d
-            out[todo[seen]] += np.log10(n[at[seen]] / whole[seen])
+            whole = total[c] - mass[todo]
+            out[todo[seen]] += np.log10((n[at[seen]] - HALF) / whole[seen])
             escape = known & ~seen & (d > 0)
-            out[todo[escape]] += np.log10(d[escape] / whole[escape])
+            out[todo[escape]] += np.log10(HALF * d[escape] / whole[escape])
             refused = known & ~seen
             mass[todo[refused]], distinct[todo[refused]] = below[c[refused]], kinds[c[refused]]
             todo = todo[~seen]
