@@ -84,7 +84,8 @@ def is_soup(text: Column) -> Column:
 def judge_score(answer: Column) -> Column:
     """The first decimal number of the first non-empty line, held to 0..1; null without one."""
     line = F.element_at(F.filter(F.split(answer, r"\n"), lambda x: F.trim(x) != ""), 1)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regexp_extract(line, r"-?\d+(?:\.\d+)?", 0).try_cast("double")))
+    found = F.regexp_extract(line, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def is_refusal(answer: Column, openings: tuple[str, ...] = REFUSALS) -> Column:

@@ -46,7 +46,7 @@ def append_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def missing_labels(captions: DataFrame, extracted: DataFrame) -> DataFrame:
     """(paper, kind, n): labels that captions have and the extraction lacks."""
-    return captions.select("paper", "kind", "n").exceptAll(extracted.select("paper", "kind", "n")).distinct()
+    return captions.select("paper", "kind", "n").subtract(extracted.select("paper", "kind", "n"))
 
 
 def common_queries(runs: DataFrame) -> DataFrame:

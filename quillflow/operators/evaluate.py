@@ -138,7 +138,7 @@ def qa_score(rows: DataFrame) -> DataFrame:
     sorted_ = lambda c: F.array_sort(F.transform(F.split(F.col(c), r"\|"), T.clean_answer))
     gs, ps = sorted_("gold"), sorted_("pred")
     exact = F.get(gs, F.lit(0)).try_cast("double").isNotNull() | T.needs_exact_match(F.get(gs, F.lit(0)))
-    as_list = F.when(F.size(gs) != F.size(ps), 0.0).when(exact, (gs == ps).cast("double")).otherwise(F.array_min(F.zip_with(gs, ps, T.anls)))
+    as_list = F.when(F.size(gs) != F.size(ps), 0.0).when(exact, (gs == ps).cast("double")).otherwise(F.array_min(F.zip_with(gs, ps, lambda g, p: T.anls(g, p))))
     return rows.withColumn("score", F.when(F.col("format") == "Int", as_int).when(F.col("format") == "Float", as_float).when(F.col("format").isin("Str", "None"), as_text).otherwise(as_list))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 RUN = (
     "run_id STRING, started_at TIMESTAMP, finished_at TIMESTAMP, golden_set_name STRING, golden_set_version STRING, config MAP<STRING, STRING>, per_query ARRAY<STRUCT<query_id: STRING, category: STRING, text: STRING, "
-    "retrieved_chunk_ids ARRAY<STRING>, retrieval: STRUCT<ndcg_at_5: DOUBLE, recall_at_10: DOUBLE, mrr: DOUBLE>, answer_text: STRING, cited_chunk_ids: ARRAY<STRING>, latency_ms: BIGINT, tokens_in: BIGINT, tokens_out: BIGINT>>"
-).replace("retrieved_chunk_ids ARRAY", "retrieved_chunk_ids: ARRAY")
+    "retrieved_chunk_ids: ARRAY<STRING>, retrieval: STRUCT<ndcg_at_5: DOUBLE, recall_at_10: DOUBLE, mrr: DOUBLE>, answer_text: STRING, cited_chunk_ids: ARRAY<STRING>, latency_ms: BIGINT, tokens_in: BIGINT, tokens_out: BIGINT>>"
+)
 CHUNK = "chunk_id STRING, paper_id STRING, page_numbers ARRAY<INT>, text STRING, section STRING, context STRING, role STRING"
 
 
