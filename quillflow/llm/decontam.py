@@ -64,6 +64,17 @@ def _positions(n: int, hashes: list[int] | None) -> Column:
     return F.expr(f"CASE WHEN size(words) >= {n} THEN {found} END" if hashes != [] else "CAST(NULL AS array<int>)")
 
 
+def _joined_matches(base: DataFrame, keyed: DataFrame, shingles: DataFrame, n: int) -> DataFrame:
+    """The matches of n-word shingles by a join on their hashes."""
+    own = F.transform(_positions(n, None), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("words", i + k) for k in range(n)]).alias("h")))
+    spots = base.select("_k1", "_k2", F.explode(own).alias("x")).select("_k1", "_k2", "x.*")
+    cand = spots.join(shingles.where(F.col("n") == n).select("h", "sid", F.col("words").alias("gram")), "h").select("_k1", "_k2", F.struct("pos", "sid", "gram").alias("c")).distinct()
+    lists = cand.groupBy("_k1", "_k2").agg(F.collect_list("c").alias("cs"))
+    true = F.filter("cs", lambda c: F.slice("words", c["pos"] + 1, n) == c["gram"])
+    found = keyed.join(lists.hint("shuffle_hash"), ["_k1", "_k2"]).select("doc_id", "_k1", "_k2", F.size("words").alias("n_words"), F.explode(true).alias("c"))
+    return found.select("doc_id", "_k1", "_k2", "n_words", "c.pos", "c.sid")
+
+
 def find_matches(docs: DataFrame, shingles: DataFrame, listed: int = LISTED) -> DataFrame:
     """(doc_id, _k1, _k2, n_words, pos, sid): a row for each shingle of docs among the given ones, and one with pos and sid null for each document."""
     base = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), words_of(F.col("text")).alias("words"))
@@ -83,13 +94,7 @@ def find_matches(docs: DataFrame, shingles: DataFrame, listed: int = LISTED) ->
     out = rows.select("doc_id", "_k1", "_k2", "n_words", "pos", F.lit(None).cast("long").alias("sid"))
     keyed = base.dropDuplicates(["_k1", "_k2"])
     for n in sorted(lengths):
-        own = F.transform(_positions(n, None), lambda i, n=n: F.struct(i.alias("pos"), F.xxhash64(*[F.get("words", i + k) for k in range(n)]).alias("h")))
-        spots = base.select("_k1", "_k2", F.explode(own).alias("x")).select("_k1", "_k2", "x.*")
-        cand = spots.join(shingles.where(F.col("n") == n).select("h", "sid", F.col("words").alias("gram")), "h").select("_k1", "_k2", F.struct("pos", "sid", "gram").alias("c")).distinct()
-        lists = cand.groupBy("_k1", "_k2").agg(F.collect_list("c").alias("cs"))
-        true = F.filter("cs", lambda c, n=n: F.slice("words", c["pos"] + 1, n) == c["gram"])
-        ok = keyed.join(lists.hint("shuffle_hash"), ["_k1", "_k2"]).select("doc_id", "_k1", "_k2", F.size("words").alias("n_words"), F.explode(true).alias("c"))
-        out = out.union(ok.select("doc_id", "_k1", "_k2", "n_words", "c.pos", "c.sid"))
+        out = out.union(_joined_matches(base, keyed, shingles, n))
     return out
 
 

@@ -190,6 +190,9 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows]) for j in range(3)], ["file", "n_records", "n_bytes"])
 
+    jvm = records.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)  # an empty table leaves an empty folder
     return materialize(records.mapInArrow(run, "file string, n_records bigint, n_bytes bigint"), "archives")
 
 
