@@ -191,7 +191,7 @@ WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN CASE WHEN abs(v - (v + 0.01)) <= 0.01
 WHEN 2 THEN CASE WHEN doc_id % 3 = 2 THEN CASE WHEN 1 - levenshtein(g, 'other') / greatest(length(g), 5) > 0.5 THEN 1 - levenshtein(g, 'other') / greatest(length(g), 5) ELSE 0 END WHEN doc_id % 3 = 1 THEN 1 - levenshtein(g, p) / greatest(length(g), length(p)) ELSE CASE WHEN 1 - levenshtein(g, 'model ' || source) / greatest(length(g), length('model ' || source)) > 0.5 THEN 1 - levenshtein(g, 'model ' || source) / greatest(length(g), length('model ' || source)) ELSE 0 END END
 WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0 END
 ELSE CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE CASE WHEN 1 - levenshtein('not answerable', 'src') / 14 > 0.5 THEN 1 - levenshtein('not answerable', 'src') / 14 ELSE 0 END END END::DOUBLE AS score
-FROM (SELECT doc_id, lang, source, doc_id % 50 + 0.25 AS v, 'model ' || source || '''' AS g, 'mode ' || source || 'x' AS p FROM documents)"""
+FROM (SELECT doc_id, lang, source, doc_id % 50 + 0.25 AS v, 'model ' || source AS g, 'mode ' || source || 'x' AS p FROM documents)"""
 
 ORACLES = {
     "metrics_per_query": f"{_EVAL} SELECT query_id, category, round(ndcg_at_5, 6) AS ndcg_at_5, round(recall_at_10, 6) AS recall_at_10, round(mrr, 6) AS mrr FROM sa",

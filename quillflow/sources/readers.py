@@ -37,7 +37,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): a document for each .txt file, named by the file."""
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select("*", "_metadata.file_name")
+    r = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select("*", "_metadata.file_name")
     return r.select(F.regexp_replace("file_name", r"\.txt$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -64,7 +64,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def title_map(spark: SparkSession, path: str) -> DataFrame:
     """(paper, title) of a JSON object; what does not parse is empty."""
-    t = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "MAP<STRING, STRING>").alias("m"))
+    t = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, STRING>").alias("m"))
     return t.where("m IS NOT NULL").select(F.explode("m").alias("paper", "title"))
 
 
