@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm import decontam, mixing, passages, quality, simhash
-from quillflow.llm.common import new_path
+from quillflow.llm.common import new_path, settle
 
 #: No SQL states the classifier, the fingerprints or the shuffle; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
@@ -16,26 +16,31 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, taught by all labels, does not reject."""
+    settle(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    settle(spark)
     return simhash.keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has."""
+    settle(spark)
     return passages.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    settle(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often it takes them."""
+    settle(spark)
     return mixing.mix(docs).where("repeats > 0").select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 

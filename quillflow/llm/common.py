@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 #: Most rows of a narrow table (under 200 bytes a row) that are broadcast.
 BROADCAST_ROWS = 200_000
 
+FILES_A_CORE, TEXT_ROWS = 4, 1000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -33,11 +39,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillflow-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its lineage ends there, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: its lineage ends there, so a lost executor costs no recomputation.
+
+    Tables that come from a shuffle are written by FILES_A_CORE tasks a core at most, as a
+    file costs more than a few rows do; with scan, a pass over an input keeps one task a split.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    out = df if scan else df.coalesce(FILES_A_CORE * max(2, spark.sparkContext.defaultParallelism))
+    # on a mounted folder, working tables need no side files of check sums: each would cost an executor a process
+    raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    out.write.options(**raw).option("compression", "zstd").parquet(path)
+    if scan:
+        settle(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets every executor collect its garbage and give the heap's free part back, after a pass over whole texts and before Python workers take memory beside it."""
+    n = max(2, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets Arrow hand Python TEXT_ROWS rows at once where the session has Spark's own default of 10,000, which is meant for narrow rows: whole texts of any length come in a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,3 +93,24 @@ def shingle_hashes(words: list[bytes], n: int, seed: int) -> np.ndarray:
         return np.array([digest(joined, seed)], np.uint64)
     ends = list(accumulate(len(w) + 1 for w in words))
     return np.array([digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[n - 1 :])], np.uint64)
+
+
+def release_memory() -> None:
+    """Gives memory that is free in this process back to the machine: a Python worker idles beside its executor's JVM between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its partition ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        release_memory()
+
+    return tidied

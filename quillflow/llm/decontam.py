@@ -86,7 +86,7 @@ def find_matches(docs: DataFrame, shingles: DataFrame, listed: int = LISTED) ->
     found = F.concat(none, *[F.coalesce(at(n), F.array().cast("array<struct<pos:int,own:array<string>,n:int>>")) for n in sorted(lengths) if few])
     rows = base.select("doc_id", "_k1", "_k2", F.size("words").alias("n_words"), F.explode(found).alias("x")).select("doc_id", "_k1", "_k2", "n_words", "x.*")
     if few:
-        rows = materialize(rows, "found")
+        rows = materialize(rows, "found", scan=True)
         known = shingles.select(F.col("n").alias("_n"), F.col("words").alias("own"), "sid")
         hit = rows.where("pos IS NOT NULL").join(small(known), ["own"]).where(F.col("n") == F.col("_n"))
         return rows.where("pos IS NULL").select("doc_id", "_k1", "_k2", "n_words", "pos", F.lit(None).cast("long").alias("sid")).union(hit.select("doc_id", "_k1", "_k2", "n_words", "pos", "sid"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br".split())
 SKIPPED = frozenset("script style noscript template head title nav aside footer form button select textarea input iframe object svg canvas dialog menu audio video map".split())
@@ -188,5 +190,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    text_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return src.mapInArrow(tidy(run), "page_id bigint, url string, text string, n_chars bigint")

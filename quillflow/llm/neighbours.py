@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 SAMPLE, RECALL, QUERY_BLOCK, CHUNK = 4096, 0.97, 8192, 1 << 16
 _POP16 = np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)).astype(np.uint8)
@@ -172,7 +172,7 @@ def search(base: DataFrame, is_query, k: int = 20) -> DataFrame:
             if held:
                 yield answer(ids, vectors)
 
-        near = rows.mapInArrow(run, schema)
+        near = rows.mapInArrow(tidy(run), schema)
         found = near if found is None else found.union(near)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

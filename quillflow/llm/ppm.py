@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_key, text_batches, tidy
 
 ORDER = 5
 PAD, END = b"\xfe", b"\xff"  # neither is a byte of UTF-8
@@ -106,7 +106,7 @@ def count_training(texts: DataFrame) -> DataFrame:
         if words:
             yield send(WORD, np.array([*map(word_hash, words)], np.uint64), np.array([*words.values()]))
 
-    return texts.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +212,7 @@ def _pack(sizes: list[tuple[int, int]], most: int) -> np.ndarray:
 def score(docs: DataFrame, learn: Column, gram_block: int = GRAM_BLOCK, word_block: int = WORD_BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text); learn, a condition on doc_id, names the texts to learn from."""
     spark = docs.sparkSession
+    text_batches(spark)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), learn.alias("learn"), F.col("text").cast("binary").alias("text"))
     counts = materialize(count_training(src.where("learn").select("text")), "counts")
     grams, words = counts.where(F.col("kind") == GRAM), counts.where(F.col("kind") == WORD)
@@ -239,8 +240,8 @@ def score(docs: DataFrame, learn: Column, gram_block: int = GRAM_BLOCK, word_blo
         table = (wk[order], w.column("n").to_numpy()[order])
         run = _score_pass(block, spark.sparkContext.broadcast(trie), of, spark.sparkContext.broadcast(table), (n, v), n_words)
         del t, w, trie, table
-        part = src.mapInArrow(run, fields)
-        part = part if blocks == 1 else materialize(part, f"scores{block}")
+        part = src.mapInArrow(tidy(run), fields)
+        part = part if blocks == 1 else materialize(part, f"scores{block}", scan=True)
         parts = part if parts is None else parts.union(part)
     if blocks > 1:
         # rows equal in id and text score alike: they are summed together, divided, and given back as often as they came

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory, text_batches, tidy
 
 N_STATS = 22
 _SENT = re.compile(rb"[.!?]+")
@@ -68,7 +68,9 @@ def stats_column(text: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
-        return pd.Series([document_stats(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else None).tolist() for x in texts])
+        out = pd.Series([document_stats(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else None).tolist() for x in texts])
+        release_memory()
+        return out
 
     return stats(text)
 
@@ -154,7 +156,7 @@ def fit(train: DataFrame, n_features: int = 192, ridge: float = 1e-3, bins: int
                 b += z.T @ y[keep]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([np.concatenate([a.ravel(), b]).tobytes()], pa.binary())], ["n", "blob"])
 
-    parts = materialize(train.mapInArrow(equations, "n bigint, blob binary"), "equations")
+    parts = materialize(train.mapInArrow(tidy(equations), "n bigint, blob binary"), "equations")
     total = _summed(parts, width * width + width)
     a, b = total[: width * width].reshape(width, width), total[width * width :]
     reg = ridge * max(1.0, a[0, 0]) * np.eye(width)
@@ -174,7 +176,7 @@ def fit(train: DataFrame, n_features: int = 192, ridge: float = 1e-3, bins: int
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(t[at]), pa.array(c[at])], ["bin", "t", "c"])
 
-    hist = train.mapInArrow(binned, "bin bigint, t double, c double").groupBy("bin").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    hist = train.mapInArrow(tidy(binned), "bin bigint, t double, c double").groupBy("bin").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
     hist = sorted((r["bin"], r["t"], r["c"]) for r in hist)
     if not hist:
         model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
@@ -204,6 +206,7 @@ def text_score_column(model: QualityModel, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         x = [document_stats(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None) for t in texts]
+        release_memory()
         return pd.Series(model.score(np.stack(x)) if x else np.zeros(0))
 
     return score(text)
@@ -218,7 +221,8 @@ def training_rows(stats: DataFrame, labels: DataFrame, learn: Column) -> DataFra
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs (doc_id, text); learn, a condition on doc_id, names the rows whose labels may be used."""
-    stats = materialize(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "stats")
+    text_batches(docs.sparkSession)
+    stats = materialize(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "stats", scan=True)
     model = fit(training_rows(stats, labels, learn))
     scored = stats.select("doc_id", score_column(model, F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -226,6 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier predicts as 1."""
-    stats = materialize(docs.where(learn).select("doc_id", stats_column(F.col("text")).alias("stats")), "stats")
+    text_batches(docs.sparkSession)
+    stats = materialize(docs.where(learn).select("doc_id", stats_column(F.col("text")).alias("stats")), "stats", scan=True)
     model = fit(training_rows(stats, labels, F.lit(True)))
     return docs.where(text_score_column(model, F.col("text")) >= 0.5)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, shingle_hashes, small
+from .common import materialize, row_key, shingle_hashes, small, text_batches, tidy
 from .components import connected_components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -52,6 +52,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, _k1, _k2, fp bigint) of docs (doc_id, text), from whole texts."""
+    text_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
@@ -59,7 +60,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x.as_py()) for x in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "_k1", "_k2", "fp"])
 
-    return src.mapInArrow(run, "doc_id bigint, _k1 bigint, _k2 bigint, fp bigint")
+    return src.mapInArrow(tidy(run), "doc_id bigint, _k1 bigint, _k2 bigint, fp bigint")
 
 
 def hamming_code() -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def fingerprint_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
                 a, f, r = anchor_rows(fps[at : at + 4096], home, near)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f.view(np.int64)), pa.array(r)], ["anchor", "fp", "resident"])
 
-    rows = distinct.select("fp").mapInArrow(anchors, "anchor bigint, fp bigint, resident boolean")
+    rows = distinct.select("fp").mapInArrow(tidy(anchors), "anchor bigint, fp bigint, resident boolean")
     # residents alone are counted: three rows a fingerprint, summed before the shuffle
     crowded = materialize(rows.where("resident").groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "crowded")
     if crowded.limit(1).count():
@@ -173,12 +174,12 @@ def fingerprint_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     else:
         rows = rows.withColumn("tile", F.lit(0))
     dealt = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("resident"))
-    return dealt.mapInArrow(_compare, "u bigint, v bigint")
+    return dealt.mapInArrow(tidy(_compare), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, _k1, _k2, fp, component_id) for every row of docs (doc_id, text)."""
-    prints = materialize(with_fingerprints(docs), "fingerprints")
+    prints = materialize(with_fingerprints(docs), "fingerprints", scan=True)
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(fingerprint_links(least))
     linked = labels.join(least, F.col("node") == F.col("fp"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, tidy
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the public vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,8 +147,9 @@ def count_with_edits(docs: DataFrame, edits: Column, vocabulary: str = VOCABULAR
                 rows.append((i, *first, tree.n_chars, tree.n_tokens, tree.encoded, len(tree.leaves)))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
 
+    text_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), edits.cast(EDITS).alias("edits"))
-    return src.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    return src.mapInArrow(tidy(run), ", ".join(f"{x} bigint" for x in names))
 
 
 def sample_edits(doc_id: Column, text: Column) -> Column:

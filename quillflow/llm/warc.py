@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, text_batches, tidy
 
 FILE_BYTES = 16 << 20
 MIN_PAYLOAD = 0
@@ -152,6 +152,7 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
 
 def plan_records(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """(page_id, url, payload, sha, refers_to): refers_to is null for responses; of equal payloads that with the largest page_id is the response."""
+    text_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     src = src.withColumn("sha", F.unhex(F.sha1("payload")))
     twice = src.where(F.length("payload") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
@@ -193,7 +194,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     jvm = records.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)  # an empty table leaves an empty folder
-    return materialize(records.mapInArrow(run, "file string, n_records bigint, n_bytes bigint"), "archives")
+    return materialize(records.mapInArrow(tidy(run), "file string, n_records bigint, n_bytes bigint"), "archives", scan=True)
 
 
 def read_archives(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
@@ -212,4 +213,4 @@ def read_archives(spark: SparkSession, folder: str, gaps: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([*[pa.array([r[n] for r in found], t) for n, t in zip(names, types)], pa.array([file] * len(found), pa.string())], [*names, "file"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return files.mapInArrow(run, "file string, start bigint, end bigint, reason string" if gaps else FIELDS + ", file string")
+    return files.mapInArrow(tidy(run), "file string, start bigint, end bigint, reason string" if gaps else FIELDS + ", file string")
