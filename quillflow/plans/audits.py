@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..sources.readers import table
 
-N = F.col("doc_id")
+def N():
+    return F.col("doc_id")
 
 
 def _docs(s, d):
@@ -16,36 +17,36 @@ def _docs(s, d):
 
 def facts_in_text(s, d):
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    fact = F.when(N % 4 == 0, F.array_join(F.slice(w, 1, 3), " ")).when(N % 4 == 1, F.concat_ws(" ", F.get(w, F.lit(0)), F.lit("qqqq zzzz"))).when(N % 4 == 2, "the of").otherwise("!!")
+    fact = F.when(N() % 4 == 0, F.array_join(F.slice(w, 1, 3), " ")).when(N() % 4 == 1, F.concat_ws(" ", F.get(w, F.lit(0)), F.lit("qqqq zzzz"))).when(N() % 4 == 2, "the of").otherwise("!!")
     return _docs(s, d).where("lang = 'en'").select("doc_id", audit.fact_in_text(fact, F.col("text")).alias("found"))
 
 
 def tokens_present(s, d):
-    text = F.concat(F.lit("red = "), (N % 7).cast("string"), F.lit(" - 375, Yesterday; "), F.col("source"))
-    token = F.when(N % 3 == 0, "3-375").when(N % 3 == 1, "Yes").otherwise(F.concat(F.lit("yesterday "), F.col("source")))
+    text = F.concat(F.lit("red = "), (N() % 7).cast("string"), F.lit(" - 375, Yesterday; "), F.col("source"))
+    token = F.when(N() % 3 == 0, "3-375").when(N() % 3 == 1, "Yes").otherwise(F.concat(F.lit("yesterday "), F.col("source")))
     return _docs(s, d).select("doc_id", audit.token_present(token, text).alias("found"))
 
 
 def extraction_recall(s, d):
-    gold = F.when(N % 3 == 0, F.concat(F.lit("['"), "source", F.lit("', '"), "lang", F.lit("']"))).when(N % 3 == 1, F.col("source")).otherwise("[broken")
-    rows = _docs(s, d).select(N.alias("query_id"), F.col("lang").alias("category"), gold.alias("gold"), F.concat(F.lit("x "), F.col("source"), F.when(N % 2 == 0, F.concat(F.lit(" "), F.col("lang"))).otherwise("")).alias("text"))
+    gold = F.when(N() % 3 == 0, F.concat(F.lit("['"), "source", F.lit("', '"), "lang", F.lit("']"))).when(N() % 3 == 1, F.col("source")).otherwise("[broken")
+    rows = _docs(s, d).select(N().alias("query_id"), F.col("lang").alias("category"), gold.alias("gold"), F.concat(F.lit("x "), F.col("source"), F.when(N() % 2 == 0, F.concat(F.lit(" "), F.col("lang"))).otherwise("")).alias("text"))
     return audit.extraction_recall(rows)
 
 
 def evidence_categories(s, d):
-    ev = F.when(N % 6 == 0, "['Chart', 'Pure-text (Plain-text)']").when(N % 6 == 1, "['Table']").when(N % 6 == 2, "[]").when(N % 6 == 3, "['Pure-text (Plain-text)']").when(N % 6 == 4, "oops").otherwise("['Figure']")
+    ev = F.when(N() % 6 == 0, "['Chart', 'Pure-text (Plain-text)']").when(N() % 6 == 1, "['Table']").when(N() % 6 == 2, "[]").when(N() % 6 == 3, "['Pure-text (Plain-text)']").when(N() % 6 == 4, "oops").otherwise("['Figure']")
     names = F.coalesce(F.from_json(F.regexp_replace(ev, "'", '"'), "array<string>"), F.array().cast("array<string>"))
-    return _docs(s, d).select("doc_id", audit.evidence_category(ev, F.when(N % 11 == 0, "None")).alias("category"), audit.evidence_bucket(names).alias("bucket"))
+    return _docs(s, d).select("doc_id", audit.evidence_category(ev, F.when(N() % 11 == 0, "None")).alias("category"), audit.evidence_bucket(names).alias("bucket"))
 
 
 def gold_pages(s, d):
-    pages = F.when(N % 2 == 0, F.array(N % 9)).otherwise(F.array().cast("array<bigint>")).cast("array<int>")
-    ids = F.array(F.concat(F.lit("x::p"), (N % 5).cast("string"), F.lit("::c1")), F.lit("x::c2"), F.concat(F.lit("y::p"), (N % 3).cast("string"), F.lit("::c3")))
+    pages = F.when(N() % 2 == 0, F.array(N() % 9)).otherwise(F.array().cast("array<bigint>")).cast("array<int>")
+    ids = F.array(F.concat(F.lit("x::p"), (N() % 5).cast("string"), F.lit("::c1")), F.lit("x::c2"), F.concat(F.lit("y::p"), (N() % 3).cast("string"), F.lit("::c3")))
     return _docs(s, d).select("doc_id", F.array_join(audit.gold_page_list(pages, ids).cast("array<string>"), ",").alias("pages"))
 
 
 def label_check(s, d):
-    c = _docs(s, d).select(N.alias("query_id"), F.when(N % 4 == 0, "TODO").otherwise("p").alias("paper_id"), F.when(N % 5 == 0, "TODO").otherwise("table").alias("category"), F.array_repeat(F.lit("f"), (N % 3).cast("int")).alias("facts"), F.array_repeat(F.lit("c"), (N % 2).cast("int")).alias("chunk_ids"), F.array_repeat(F.lit(1), (N % 7 % 2).cast("int")).alias("pages"))
+    c = _docs(s, d).select(N().alias("query_id"), F.when(N() % 4 == 0, "TODO").otherwise("p").alias("paper_id"), F.when(N() % 5 == 0, "TODO").otherwise("table").alias("category"), F.array_repeat(F.lit("f"), (N() % 3).cast("int")).alias("facts"), F.array_repeat(F.lit("c"), (N() % 2).cast("int")).alias("chunk_ids"), F.array_repeat(F.lit(1), (N() % 7 % 2).cast("int")).alias("pages"))
     ok, bad = audit.checked_labels(c)
     return ok.select("query_id", F.lit(True).alias("accepted")).union(bad.select("query_id", F.lit(False)))
 
@@ -56,25 +57,25 @@ def parsed_rewrites(s, d):
 
 
 def parsed_subqueries(s, d):
-    raw = F.when(N % 5 == 0, "1.\n-\nab").otherwise(F.concat(F.lit("1. find "), "source", F.lit("\n2) FIND "), "source", F.lit("\n- 2024 "), "lang"))
+    raw = F.when(N() % 5 == 0, "1.\n-\nab").otherwise(F.concat(F.lit("1. find "), "source", F.lit("\n2) FIND "), "source", F.lit("\n- 2024 "), "lang"))
     return _docs(s, d).select("doc_id", F.array_join(audit.subqueries(raw, F.col("source"), 3), "|").alias("found"))
 
 
 def caption_split(s, d):
-    text = F.when(N % 3 == 0, F.concat(F.lit("Table of "), "source")).otherwise(F.concat(F.lit("Table of "), "source", F.lit("\n\n | a | b |\n| 1 | 2 |\n")))
+    text = F.when(N() % 3 == 0, F.concat(F.lit("Table of "), "source")).otherwise(F.concat(F.lit("Table of "), "source", F.lit("\n\n | a | b |\n| 1 | 2 |\n")))
     c = audit.split_caption(text)
     return _docs(s, d).select("doc_id", c["name"].alias("name"), c["data"].alias("data"))
 
 
 def reference_spans(s, d):
-    idx = F.floor(N / 20)
+    idx = F.floor(N() / 20)
     text = F.when(idx % 10 == 7, F.concat(F.lit(" References\n"), "lang")).when(idx % 10 == 9, "A Use of data").otherwise("body of text")
-    return audit.reference_spans(_docs(s, d).select((N % 20).alias("paper"), idx.alias("idx"), text.alias("text")))
+    return audit.reference_spans(_docs(s, d).select((N() % 20).alias("paper"), idx.alias("idx"), text.alias("text")))
 
 
 def recall_both_ways(s, d):
-    r = _docs(s, d).select((N % 20).alias("query_id"), F.floor(N / 20).alias("rank"), F.floor(N / 60).alias("page"))
-    gold = _docs(s, d).where("doc_id % 3 = 0 AND doc_id < 400").select((N % 20).alias("query_id"), F.floor(N / 60).alias("page"))
+    r = _docs(s, d).select((N() % 20).alias("query_id"), F.floor(N() / 20).alias("rank"), F.floor(N() / 60).alias("page"))
+    gold = _docs(s, d).where("doc_id % 3 = 0 AND doc_id < 400").select((N() % 20).alias("query_id"), F.floor(N() / 60).alias("page"))
     out = audit.recall_both_ways(r, gold, 4)
     return out.select("query_id", F.round("pages_first", 6).alias("pages_first"), F.round("chunks_first", 6).alias("chunks_first"))
 
@@ -107,24 +108,24 @@ def noise_floor(s, d):
 
 
 def human_verdicts(s, d):
-    v = table(s, d, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("toxic") == 1, "gold_wrong").when(F.col("quality") == 1, "correct").when(N % 2 == 0, "wrong").otherwise("unsure").alias("verdict"))
-    return audit.adjusted(_docs(s, d).select(N.alias("query_id"), (N % 10 / 10.0).alias("score")), v)
+    v = table(s, d, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("toxic") == 1, "gold_wrong").when(F.col("quality") == 1, "correct").when(N() % 2 == 0, "wrong").otherwise("unsure").alias("verdict"))
+    return audit.adjusted(_docs(s, d).select(N().alias("query_id"), (N() % 10 / 10.0).alias("score")), v)
 
 
 def label_probe(s, d):
-    rows = _docs(s, d).select("doc_id", F.when(N % 9 != 0, F.col("source")).alias("label"))
+    rows = _docs(s, d).select("doc_id", F.when(N() % 9 != 0, F.col("source")).alias("label"))
     return audit.one_of_each(rows, "label", "doc_id").select("doc_id")
 
 
 def note_format(s, d):
-    note = F.when(N % 3 == 0, F.concat(F.lit("src=x | answer_format="), "lang", F.lit(" | y"))).when(N % 3 == 1, "nothing")
+    note = F.when(N() % 3 == 0, F.concat(F.lit("src=x | answer_format="), "lang", F.lit(" | y"))).when(N() % 3 == 1, "nothing")
     return _docs(s, d).select("doc_id", audit.format_of(note).alias("format"))
 
 
 def figure_injection(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see Figure "), (F.col("item_id") % 5).cast("string"), F.lit(", table "), (F.col("item_id") % 4).cast("string"), F.lit(" and fig. 2")).alias("text"))
-    top = _docs(s, d).where("doc_id < 200").select((N % 40).alias("query_id"), (N % 20).alias("paper"), F.floor(N / 40).alias("rank"))
-    figs = _docs(s, d).where("doc_id < 100").select(N.alias("figure_id"), (N % 20).alias("paper"), F.when(N % 2 == 0, "figure").otherwise("table").alias("kind"), (N % 5).cast("string").alias("n"))
+    top = _docs(s, d).where("doc_id < 200").select((N() % 40).alias("query_id"), (N() % 20).alias("paper"), F.floor(N() / 40).alias("rank"))
+    figs = _docs(s, d).where("doc_id < 100").select(N().alias("figure_id"), (N() % 20).alias("paper"), F.when(N() % 2 == 0, "figure").otherwise("table").alias("kind"), (N() % 5).cast("string").alias("n"))
     return audit.injected_figures(q, top, figs)
 
 

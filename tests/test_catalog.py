@@ -48,3 +48,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session_and_no_optional_part(tmp_path):
+    """A fresh process can list the queries, also where the optional subpackage and its pipeline are gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "quillflow"), tmp_path / "quillflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for where in (root, str(tmp_path)):
+        out = subprocess.run([sys.executable, "-c", code], cwd=where, env=env, capture_output=True, text=True, timeout=120)
+        assert out.returncode == 0 and int(out.stdout.split()[-2]) >= 100, out.stderr
