@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Most rows of a narrow table (under 200 bytes a row) that are broadcast.
 BROADCAST_ROWS = 200_000
 
-FILES_A_CORE, TEXT_ROWS = 4, 1000
+FILES_A_CORE, TEXT_ROWS = 1, 1000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -39,15 +39,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillflow-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, scan: bool = False, few: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, so a lost executor costs no recomputation.
 
-    Tables that come from a shuffle are written by FILES_A_CORE tasks a core at most, as a
-    file costs more than a few rows do; with scan, a pass over an input keeps one task a split.
+    few: a table of a bounded number of rows, written by FILES_A_CORE tasks a core at most.
+    scan: a pass over whole texts, after which the executors settle.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    out = df if scan else df.coalesce(FILES_A_CORE * max(2, spark.sparkContext.defaultParallelism))
+    out = df if not few else df.coalesce(FILES_A_CORE * max(2, spark.sparkContext.defaultParallelism))
     # on a mounted folder, working tables need no side files of check sums: each would cost an executor a process
     raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
     out.write.options(**raw).option("compression", "zstd").parquet(path)

@@ -106,7 +106,7 @@ def occurrences(matches: DataFrame, windows: DataFrame) -> DataFrame:
     spots = kinds.select("wid", "len", "n", "sids", F.posexplode("sids").alias("offset", "sid")).join(rarity, "sid")
     prefix = spots.groupBy("wid", "len", "n", "sids").agg(F.count("*").alias("present"), F.min(F.struct("df", "sid", "offset")).alias("rare"))
     prefix = prefix.where(F.col("present") == F.size("sids")).select("wid", "len", "n", "sids", F.col("rare.sid").alias("sid"), F.col("rare.offset").alias("offset"))
-    cand = hits.join(small(materialize(prefix, "prefix")), "sid").withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
+    cand = hits.join(small(materialize(prefix, "prefix", few=True)), "sid").withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
     cover = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("len") - F.col("n"), F.col("n")), F.array(F.col("len") - F.col("n"))))
     cover = F.when(F.col("len") == F.col("n"), F.array(F.lit(0))).otherwise(cover)
     cand = cand.select("_k1", "_k2", "wid", "len", "start", F.size(cover).alias("need"), F.explode(F.transform(cover, lambda o: F.struct(F.col("start") + o, F.get("sids", o)))).alias("at"))
@@ -118,7 +118,7 @@ def occurrences(matches: DataFrame, windows: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, _k1, _k2, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text)."""
     windows, shingles = item_windows(items, window, shingle)
-    windows, shingles = materialize(windows, "windows"), materialize(shingles, "shingles")
+    windows, shingles = materialize(windows, "windows", few=True), materialize(shingles, "shingles", few=True)
     matches = materialize(find_matches(docs, shingles), "matches")
     occ = materialize(occurrences(matches, windows), "occurrences")
     spans = occ.groupBy("_k1", "_k2", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of an item occurs."""
     windows, shingles = item_windows(items, WINDOW, SHINGLE)
-    windows, shingles = materialize(windows, "windows"), materialize(shingles, "shingles")
+    windows, shingles = materialize(windows, "windows", few=True), materialize(shingles, "shingles", few=True)
     matches = materialize(find_matches(docs, shingles), "matches")
     bad = materialize(occurrences(matches, windows).select("_k1", "_k2").distinct(), "contaminated")
     keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))

@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, seed: int = 17
         "doc_id", "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
     rows = materialize(rows, "sizes", scan=True)
-    targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets")
+    targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets", few=True)
     t = small(targets.withColumnRenamed("source", "_source"))
     queued = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # a document over 1/20 of its source's target waits behind the others, smaller ones first, lest one document decide a source's share

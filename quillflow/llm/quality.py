@@ -125,7 +125,7 @@ def _summed(parts: DataFrame, width: int, group: int = 32) -> np.ndarray:
     n = parts.count()
     while n > group:
         n = -(-n // group)
-        parts = materialize(parts.repartition(n).mapInArrow(lambda b: add(None, b), parts.schema), "sums")
+        parts = materialize(parts.repartition(n).mapInArrow(lambda b: add(None, b), parts.schema), "sums", few=True)
     return sum((np.frombuffer(r["blob"]) for r in parts.select("blob").collect()), np.zeros(width))
 
 
@@ -156,7 +156,7 @@ def fit(train: DataFrame, n_features: int = 192, ridge: float = 1e-3, bins: int
                 b += z.T @ y[keep]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([np.concatenate([a.ravel(), b]).tobytes()], pa.binary())], ["n", "blob"])
 
-    parts = materialize(train.mapInArrow(tidy(equations), "n bigint, blob binary"), "equations")
+    parts = materialize(train.mapInArrow(tidy(equations), "n bigint, blob binary"), "equations", few=True)
     total = _summed(parts, width * width + width)
     a, b = total[: width * width].reshape(width, width), total[width * width :]
     reg = ridge * max(1.0, a[0, 0]) * np.eye(width)
