@@ -437,6 +437,26 @@ def test_passages_that_repeat_are_found(spark):
     assert after[11]["n_chars"] == len(after[11]["text"]) and after[15]["text"] == words(300, 6)
 
 
+def marked(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {r["doc_id"]: [(x["s"], x["e"], x["ref_id"]) for x in r["spans"]] for r in passages.mark_repeats(df).collect()}
+
+
+def pieces(passage, seed):
+    """Parts of a passage, each too short to be a repeat, that together hold all its shingles."""
+    w = passage.split()
+    return " ".join(" ".join([*w[a : a + 30], words(40, seed + a)]) for a in range(0, len(w) - 5, 20))
+
+
+def test_passages_at_a_later_place_of_the_first_document(spark):
+    rows = []
+    for i in range(0, 40, 2):
+        shared = words(60, 900 + i)
+        rows += [(i, " ".join([words(40, 1000 + i), pieces(shared, 5000 + 100 * i), shared, words(40, 2000 + i)])), (i + 1, " ".join([words(45, 3000 + i), shared, words(45, 4000 + i)]))]
+    got = marked(spark, rows)
+    assert all(got[i + 1] == [(45, 105, i)] for i in range(0, 40, 2))
+
+
 def test_passages_odd_tables(odd, empty):
     rows = passages.mark_repeats(odd).collect()
     assert len(rows) == odd.count()
