@@ -32,6 +32,12 @@ N_STATS = 22
 _SENT = re.compile(rb"[.!?]+")
 
 
+def compressed_size(text: bytes, block: int = 1 << 16) -> int:
+    """Bytes of a whole text compressed as one stream, block by block."""
+    z = zlib.compressobj(1)
+    return sum(len(z.compress(text[i : i + block])) for i in range(0, len(text), block)) + len(z.flush())
+
+
 def document_stats(text: bytes | None) -> np.ndarray:
     """N_STATS numbers about a whole text: length, character classes, word shapes, repetition and compressibility."""
     out = np.zeros(N_STATS)
@@ -58,7 +64,7 @@ def document_stats(text: bytes | None) -> np.ndarray:
     out[:] = (
         np.log1p(n), np.log1p(len(words)), upper / n, lower / n, digit / n, high / n, symbols / n, stops / n, count[33] / n, space / n,
         -(p * np.log2(p)).sum(), lens.mean(), lens.std(), min(lens.max(), 200), len(seen) / k, len(seen) / expected, max(seen.values(), default=0) / k,
-        1 - pairs, same, 1 - len(set(lines)) / max(1, len(lines)), len(zlib.compress(text[: 1 << 16], 1)) / min(n, 1 << 16), np.log1p(len(_SENT.findall(text))) - np.log1p(len(words)),
+        1 - pairs, same, 1 - len(set(lines)) / max(1, len(lines)), compressed_size(text) / n, np.log1p(len(_SENT.findall(text))) - np.log1p(len(words)),
     )
     return out
 

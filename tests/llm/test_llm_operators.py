@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 import re
 import zlib
 
@@ -297,6 +298,16 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
 
 
+def test_compressibility_is_that_of_the_whole_text():
+    opening = words(20_000, 6).encode()[: 1 << 16]
+    rest = b"same line\n" * 50_000
+    n = len(opening) + len(rest)
+    got = [quality.document_stats(x)[20] for x in (opening, opening + rest)]
+    assert got[0] == len(zlib.compress(opening, 1)) / len(opening)
+    assert abs(got[1] - len(zlib.compress(opening + rest, 1)) / n) < 1e-3 and got[1] < got[0] / 3
+    assert quality.compressed_size(b"short text") == len(zlib.compress(b"short text", 1))
+
+
 def test_quality_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1), (5, None, 0), (None, 1, 0), (3, 0, 0), (77, 1, 0)], "doc_id bigint, quality int, toxic int")
     for lab in (labels, labels.limit(0), labels.where("quality = 1")):
