@@ -468,6 +468,16 @@ def test_passages_at_a_later_place_of_the_first_document(spark):
     assert all(got[i + 1] == [(45, 105, i)] for i in range(0, 40, 2))
 
 
+def test_passages_whose_values_an_earlier_document_holds(spark):
+    passage = {i: words(60, 900 + i) for i in range(20)}
+    rows = [(i, " ".join([words(40, 1000 + i), pieces(x, 5000 + 100 * i)])) for i, x in passage.items()]
+    rows += [(100 + 100 * k + i, " ".join([words(45, 7000 + 100 * k + i), x, words(45, 8000 + 100 * k + i)])) for i, x in passage.items() for k in range(2)]
+    got = marked(spark, rows)
+    assert all(got[i] == got[100 + i] == [] for i in passage)
+    # the reach of a window can end a few words before the passage does
+    assert all({x[2] for x in got[200 + i]} == {100 + i} and max(e for _, e, _ in got[200 + i]) - min(s for s, _, _ in got[200 + i]) >= 50 for i in passage)
+
+
 def test_passages_odd_tables(odd, empty):
     rows = passages.mark_repeats(odd).collect()
     assert len(rows) == odd.count()
