@@ -50,8 +50,9 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_import_needs_no_session_and_no_optional_part(tmp_path):
-    """A fresh process can list the queries, also where the optional subpackage and its pipeline are gone."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_import_needs_no_session_and_no_optional_part(tmp_path, pipeline):
+    """A fresh process can list the queries, also where the optional subpackage is gone, with its pipeline or without."""
     import os
     import shutil
     import subprocess
@@ -60,6 +61,8 @@ def test_import_needs_no_session_and_no_optional_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "quillflow"), tmp_path / "quillflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    if pipeline and os.path.exists(os.path.join(root, "corpus_pipeline.py")):
+        shutil.copy(os.path.join(root, "corpus_pipeline.py"), tmp_path)
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     for where in (root, str(tmp_path)):
