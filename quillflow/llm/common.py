@@ -29,14 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillflow-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other table has."""
-    return f"{shared_dir(spark)}/quillflow-{uuid.uuid4().hex}/{name}"
+    """A path below the shared folder that no other table has; the driver deletes it when it ends."""
+    root = f"{shared_dir(spark)}/quillflow-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, root)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{root}/{name}"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes working tables that nothing reads any more."""
+    for t in tables:
+        at, files = _file_system(t.sparkSession, t.working_path)
+        files.delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, scan: bool = False, few: bool = False) -> DataFrame:
@@ -53,7 +72,9 @@ def materialize(df: DataFrame, name: str, scan: bool = False, few: bool = False)
     out.write.options(**raw).option("compression", "zstd").parquet(path)
     if scan:
         settle(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.working_path = path
+    return table
 
 
 def settle(spark: SparkSession) -> None:
