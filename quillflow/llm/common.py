@@ -20,6 +20,9 @@ BROADCAST_ROWS = 200_000
 
 FILES_A_CORE, TEXT_ROWS = 1, 1000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -116,6 +119,66 @@ def shingle_hashes(words: list[bytes], n: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[n - 1 :])], np.uint64)
 
 
+def text_blocks(texts: pa.Array, block: int = 1 << 18):
+    """Ranges [a, b) of the rows of a binary array whose texts make about block bytes, one longer text being a range of its own."""
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + block, "right")) - 1)
+        yield a, min(b, len(texts))
+        a = b
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): a 64-bit hash of every word (run without ASCII white space, A-Z lower-cased) of a binary array's texts, and how many words each text has.
+
+    A word's hash is a polynomial in its bytes, mixed; prefix sums give it for all words at once.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    n = int(ends[-1] - ends[0])
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cuts = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < n)]  # words end with their text
+    first[cuts] |= inside[1:-1][cuts]
+    last[cuts - 1] |= inside[1:-1][cuts - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    with np.errstate(over="ignore"):
+        power = np.full(n, _BASE)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        low = (data + ((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(low * power, out=sums[1:])
+        # sums grow from the word's first byte: dividing by its power makes them equal wherever the word stands
+        back = np.full(int(start[-1]) + 1 if len(start) else 0, _INVERSE)
+        back[:1] = 1
+        x = (sums[stop] - sums[start]) * np.multiply.accumulate(back)[start]
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32), np.diff(np.searchsorted(start, ends))
+
+
+def rolled_shingles(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the n-word shingles of texts given as word hashes end to end; texts of fewer words have none."""
+    many = np.maximum(counts - n + 1, 0)
+    if not many.any():
+        return np.zeros(0, np.uint64), many
+    with np.errstate(over="ignore"):
+        x = words[: len(words) - n + 1].copy()
+        for k in range(1, n):
+            x = x * _BASE + words[k : len(words) - n + 1 + k]
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    begin = np.cumsum(counts) - counts
+    at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return (x ^ x >> np.uint64(32))[at], many
+
+
 def release_memory() -> None:
     """Gives memory that is free in this process back to the machine: a Python worker idles beside its executor's JVM between stages."""
     gc.collect()
