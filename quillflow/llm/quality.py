@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release_memory, text_batches, tidy
 
 N_STATS = 22
+#: Labelled rows that keep_good fits on, about: where there are more, those whose hash of doc_id is smallest.
+FIT_ROWS = 50_000
 _SENT = re.compile(rb"[.!?]+")
 
 
@@ -63,7 +65,7 @@ def document_stats(text: bytes | None) -> np.ndarray:
     expected = k**0.9  # distinct words grow more slowly than words
     out[:] = (
         np.log1p(n), np.log1p(len(words)), upper / n, lower / n, digit / n, high / n, symbols / n, stops / n, count[33] / n, space / n,
-        -(p * np.log2(p)).sum(), lens.mean(), lens.std(), min(lens.max(), 200), len(seen) / k, len(seen) / expected, max(seen.values(), default=0) / k,
+        -(p * np.log2(p)).sum(), lens.mean(), lens.std(), np.log1p(lens.max()), len(seen) / k, len(seen) / expected, max(seen.values(), default=0) / k,
         1 - pairs, same, 1 - len(set(lines)) / max(1, len(lines)), compressed_size(text) / n, np.log1p(len(_SENT.findall(text))) - np.log1p(len(words)),
     )
     return out
@@ -234,9 +236,12 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier predicts as 1."""
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier predicts as 1.  It is fitted on a sample of about fit_rows labelled rows, or all of them where there are fewer; every row of docs is scored."""
     text_batches(docs.sparkSession)
-    stats = materialize(docs.where(learn).select("doc_id", stats_column(F.col("text")).alias("stats")), "stats", scan=True)
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
+    n = usable.count()
+    sampled = F.lit(True) if n <= fit_rows else F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id").cast("bigint")), F.lit(1 << 32)) < F.lit(int(fit_rows / n * (1 << 32)))
+    stats = materialize(docs.where(learn & sampled).select("doc_id", stats_column(F.col("text")).alias("stats")), "stats", scan=True)
     model = fit(training_rows(stats, labels, F.lit(True)))
     return docs.where(text_score_column(model, F.col("text")) >= 0.5)
