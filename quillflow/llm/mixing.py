@@ -10,7 +10,9 @@ Neither the running sums of a source nor the global sort meet in one task.
 Running sums have two levels: sums by bucket of the shuffle hash, then sums
 within a bucket.  The global order has known even boundaries, since every source
 emits its target's tokens per unit of virtual time: a histogram over slices of
-finish time finds the slice with the cut, and only that slice is sorted.
+finish time finds the slice with the cut, slices of that one follow until it has
+EDGE rows at most, and only these are sorted.  All documents take their place by the
+shuffle alone: a source misses its target by its longest document at most.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; equal rows share one place in the queue and are taken or left
@@ -28,8 +30,8 @@ from .common import materialize, small
 WORD = r"[^\x20\x09-\x0D]+"
 #: Virtual time is 1 where every source has emitted its target; the queue is not served beyond this time.
 LAST_TIME = 4
-#: A document with more than target / LARGE words is queued behind its source's others.  There are under LARGE * size / target of them.
-LARGE = 20
+#: Most rows of the slice with the cut that one task sorts; a larger slice is cut into slices again.
+EDGE = 1 << 17
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> DataFrame:
@@ -58,14 +60,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, seed: int = 17
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets", few=True)
     t = small(targets.withColumnRenamed("source", "_source"))
     queued = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # a document over 1/20 of its source's target waits behind the others, smaller ones first, lest one document decide a source's share
-    queued = queued.withColumn("late", F.when(F.col("size") * LARGE > F.col("target"), F.col("size")).otherwise(F.lit(0)))
-    queued = queued.withColumn("bucket", F.when(F.col("late") > 0, 1 << buckets_log2).otherwise(F.shiftrightunsigned("h", 64 - buckets_log2)))
+    queued = queued.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets_log2))
     sums = queued.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
     ahead = F.coalesce(F.sum("s").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ahead = sums.select("sid", "bucket", ahead.alias("ahead"))
-    # the default frame of an ordered window is RANGE: rows equal in (late, h, doc_id) share their sum
-    within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("late", "h", "doc_id"))
+    # the default frame of an ordered window is RANGE: rows equal in (h, doc_id) share their sum
+    within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id"))
     queued = queued.withColumn("within", within).join(ahead, ["sid", "bucket"]).withColumn("c", F.col("ahead") + F.col("within"))
     queued = materialize(queued.select("doc_id", "source", "h", "size", "source_size", "target", "c"), "queue")
 
@@ -74,18 +74,25 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, seed: int = 17
 
     rounds = range(max_repeats)
     emitted = queued.select("h", "doc_id", "size", F.explode(F.array(*[finish(k) for k in rounds])).alias("f")).where(F.col("f") < LAST_TIME)
-    emitted = emitted.withColumn("slice", F.floor(F.col("f") * slices))
-    by_slice = emitted.groupBy("slice").agg(F.sum("size").alias("s"))  # LAST_TIME * slices rows at most
-    budget = targets.agg(F.coalesce(F.round(F.sum("target")), F.lit(0.0)).cast("long")).first()[0]
-    running = by_slice.withColumn("through", F.sum("s").over(W.orderBy("slice")))
-    cut = running.where(F.col("through") > budget).orderBy("slice").first()
-    if cut is None:
-        last = (float(LAST_TIME), -(2**63))
-    else:
-        left = budget - (cut["through"] - cut["s"])
-        edge = emitted.where(F.col("slice") == cut["slice"]).withColumn("through", F.sum("size").over(W.orderBy("f", "h", "doc_id")))
+    left = targets.agg(F.coalesce(F.round(F.sum("target")), F.lit(0.0)).cast("long")).first()[0]
+    low, width, last = 0.0, float(LAST_TIME), None
+    for _ in range(4):  # 4096 ** 4 slices are finer than the finish times themselves
+        step = width / slices
+        here = emitted.withColumn("slice", F.least(F.floor((F.col("f") - F.lit(low)) / step), F.lit(slices - 1)))
+        by_slice = here.groupBy("slice").agg(F.sum("size").alias("s"), F.count("*").alias("n"))  # slices rows at most
+        running = by_slice.withColumn("through", F.sum("s").over(W.orderBy("slice")))
+        cut = running.where(F.col("through") > left).orderBy("slice").first()
+        if cut is None:
+            last = (low + width, -(2**63))
+            break
+        left -= cut["through"] - cut["s"]
+        emitted, low, width = here.where(F.col("slice") == cut["slice"]).drop("slice"), low + cut["slice"] * step, step
+        if cut["n"] <= EDGE:
+            break
+    if last is None:
+        edge = emitted.withColumn("through", F.sum("size").over(W.orderBy("f", "h", "doc_id")))
         key = edge.where(F.col("through") <= left).agg(F.max(F.struct("f", "h"))).first()[0]
-        last = (key["f"], key["h"]) if key else (cut["slice"] / slices, -(2**63))
+        last = (key["f"], key["h"]) if key else (low, -(2**63))
     f_cut, h_cut = F.lit(last[0]), F.lit(last[1])
     served = [F.when((finish(k) < f_cut) | ((finish(k) == f_cut) & (F.col("h") <= h_cut)), 1).otherwise(0) for k in rounds]
     repeats = sum(served[1:], served[0])
