@@ -17,7 +17,8 @@ k.  Then the best k of each query over all partitions are taken.
 
 Defined cases: vectors that are null, zero, of another dimension than the table's
 most frequent one, or hold a null or non-finite component take no part; rows that
-repeat a vec_id count once, as the nearest of them; null ids take no part; with
+repeat a vec_id count once, as the nearest of them, and ask by the vector that
+sorts first; null ids take no part; with
 fewer than k candidates all are returned; ties go to the smaller vec_id; other
 columns play no part.
 """
@@ -137,7 +138,7 @@ def search(base: DataFrame, is_query, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     codes = Codes(sample)
     radius = fit_radius(codes, sample, k, RECALL)
-    queries = materialize(rows.where(is_query), "queries")
+    queries = materialize(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block_of = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
     found = None
@@ -145,8 +146,7 @@ def search(base: DataFrame, is_query, k: int = 20) -> DataFrame:
         part = queries.where(block_of == block).toArrow()  # about QUERY_BLOCK vectors
         qid = part.column("vec_id").to_numpy()
         qv = np.array(part.column("embedding").to_pylist(), float).reshape(len(qid), -1)
-        qid, first = np.unique(qid, return_index=True)
-        asked = spark.sparkContext.broadcast((qid, qv[first]))
+        asked = spark.sparkContext.broadcast((qid, qv))
 
         def run(batches, asked=asked):
             qid, qv = asked.value
