@@ -68,8 +68,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(spark, folder, written=written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:

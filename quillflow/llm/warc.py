@@ -1,9 +1,9 @@
 """Operator 10: WARC archives, written with revisit records and read back by a salvage reader.
 
 Writing: one gzip member per record.  A task writes files of FILE_BYTES at most
-into the given folder, by the file system that its address names; a file is
-written under a name of its own attempt and then moved to its final name, so a
-task that runs twice leaves one file.
+into the given folder, by the file system that its address names.  Every attempt
+of a task has names of its own; the table of written files, which Spark commits,
+has those of the attempts that counted, and the reader takes no others.
 
 Reading: every member is checked (gzip check sum, version line, header fields,
 length, block and payload digest).  After a failed check the reader looks for the
@@ -106,45 +106,82 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The content of the gzip member that begins at a position, and where it ends."""
-    z, out = zlib.decompressobj(31), []
+def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """What the gzip member that begins at a position holds, as far as it can be read, where it ends, and why it can't be read on; without a known end that is the position itself."""
+    z, out, begin = zlib.decompressobj(31), [], at
     while not z.eof and at < len(data):
-        try:
-            out.append(z.decompress(data[at : at + step]))
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
+        for piece in (step, 64):  # after an error, once more in small pieces, so that what precedes the damage is kept
+            before = z.copy()
+            try:
+                for i in range(at, min(at + step, len(data)), piece):
+                    out.append(z.decompress(data[i : min(i + piece, at + step)]))
+                break
+            except zlib.error as e:
+                reason = f"gzip: {e}"
+                if piece == 64:
+                    return b"".join(out), begin, reason
+                z = before
         at += step
-    if not z.eof:
-        raise ValueError("gzip member without end")
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data), None) if z.eof else (b"".join(out), begin, "gzip member without end")
 
 
-def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """All valid records of an archive, compressed by member or not, and the quarantined gaps (start, end, reason)."""
-    records, gaps, at, bad = [], [], 0, None
-    while at < len(data):
+def _records(content: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of uncompressed content, and the gaps between them."""
+    found, gaps, at, bad = [], [], 0, None
+    while at < len(content):
         try:
-            if data.startswith(MAGIC, at):
-                content, end = _member(data, at)
-                inner, found = 0, []
-                while inner < len(content):
-                    r, inner = parse_record(content, inner)
-                    found.append(r)
-            else:
-                r, end = parse_record(data, at)
-                found = [r]
+            record, end = parse_record(content, at)
         except ValueError as e:
             bad = bad or (at, str(e))
-            line, member = VERSION.search(data, at + 1), data.find(MAGIC, at + 1)
-            nexts = ([line.start()] if line else []) + ([member] if member >= 0 else [])
-            at = min(nexts, default=len(data))
+            line = VERSION.search(content, at + 1)
+            at = line.start() if line else len(content)
             continue
         if bad:
             gaps.append((bad[0], at, bad[1]))
             bad = None
-        records += found
+        found.append(record)
         at = end
+    return found, gaps + ([(bad[0], len(content), bad[1])] if bad else [])
+
+
+def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """All valid records of an archive, compressed by member or not, and the quarantined gaps (start, end, reason).
+
+    A member that holds several records, or breaks off, gives the valid records
+    among what can be read of it; its gap is the whole member, in bytes of the
+    archive, or what follows its begin up to the next member or version line.
+    """
+    records, gaps, at, bad = [], [], 0, None
+    while at < len(data):
+        if data.startswith(MAGIC, at):
+            content, end, why = _member(data, at)
+            found, lost = _records(content)
+            records += found
+            if why is None and found:
+                if bad:
+                    gaps.append((bad[0], at, bad[1]))
+                    bad = None
+                if lost:
+                    gaps.append((at, end, lost[0][2]))
+                at = end
+                continue
+            bad = bad or (at, why or (lost[0][2] if lost else "empty member"))
+        else:
+            line = VERSION.match(data, at)
+            try:
+                if not line:
+                    raise ValueError("no version line")
+                record, end = parse_record(data, at)
+                if bad:
+                    gaps.append((bad[0], at, bad[1]))
+                    bad = None
+                records.append(record)
+                at = end
+                continue
+            except ValueError as e:
+                bad = bad or (at, str(e))
+        line, member = VERSION.search(data, at + 1), data.find(MAGIC, at + 1)
+        at = min(([line.start()] if line else []) + ([member] if member >= 0 else []), default=len(data))
     if bad:
         gaps.append((bad[0], len(data), bad[1]))
     return records, gaps
@@ -171,7 +208,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
         def flush():
             nonlocal k
-            name = f"{root}/pages-{part:06d}-{k:04d}.warc.gz"
+            name = f"{root}/pages-{part:06d}-{k:04d}-{attempt}.warc.gz"
             with fs.open_output_stream(f"{root}/_{attempt}-{k}.tmp", compression=None) as f:
                 f.write(b"".join(held))
             fs.move(f"{root}/_{attempt}-{k}.tmp", name)
@@ -197,20 +234,29 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return materialize(records.mapInArrow(tidy(run), "file string, n_records bigint, n_bytes bigint"), "archives", scan=True)
 
 
-def read_archives(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
-    """The records (FIELDS and file) of all archives below folder, or with gaps the quarantined gaps (file, start, end, reason)."""
+def scan_archives(spark: SparkSession, folder: str, written: DataFrame | None = None) -> DataFrame:
+    """Records (FIELDS and file) and quarantined gaps (file, start, end, reason; reason is null for records) of the archives below folder, read once; with the table that write_archives gave, of the files that it lists."""
 
     def run(batches):
+        names = [x.split()[0] for x in FIELDS.split(", ")]
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
         for b in batches:
             for file, data in zip(b.column("path").to_pylist(), b.column("content")):
                 found, lost = salvage(data.as_py())
-                if gaps:
-                    cols = [pa.array([file] * len(lost), pa.string()), *[pa.array([x[j] for x in lost], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string()))]]
-                    yield pa.RecordBatch.from_arrays(cols, ["file", "start", "end", "reason"])
-                    continue
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                names = [x.split()[0] for x in FIELDS.split(", ")]
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[n] for r in found], t) for n, t in zip(names, types)], pa.array([file] * len(found), pa.string())], [*names, "file"])
+                rows = [*found, *({"start": s, "end": e, "reason": r} for s, e, r in lost)]
+                cols = [pa.array([r.get(n) for r in rows], t) for n, t in zip([*names, "start", "end", "reason"], (*types, pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([file] * len(rows), pa.string())], [*names, "start", "end", "reason", "file"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return files.mapInArrow(tidy(run), "file string, start bigint, end bigint, reason string" if gaps else FIELDS + ", file string")
+    if written is not None:
+        base = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+        files = files.join(small(written.select(base("file").alias("_name"))), base("path") == F.col("_name"), "left_semi")
+    return materialize(files.mapInArrow(tidy(run), FIELDS + ", start bigint, end bigint, reason string, file string"), "scanned", scan=True)
+
+
+def read_archives(spark: SparkSession, folder: str, gaps: bool = False, written: DataFrame | None = None) -> DataFrame:
+    """The records (FIELDS and file) of the archives below folder, or with gaps the quarantined gaps (file, start, end, reason); see scan_archives for both at once."""
+    rows = scan_archives(spark, folder, written)
+    if gaps:
+        return rows.where("reason IS NOT NULL").select("file", "start", "end", "reason")
+    return rows.where("reason IS NULL").drop("start", "end", "reason")

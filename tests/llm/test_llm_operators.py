@@ -586,3 +586,52 @@ def test_pipeline(spark, sf, tmp_path):
         if k < 4:
             assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(seen)
+
+
+def test_salvage_inside_members():
+    """Several records in one member: a bad one, or a break of the stream, costs only itself."""
+    recs = [warc.build_record(i, f"http://x/{i}", bytes([97 + i]) * 500 + words(200, i).encode()) for i in range(6)]
+    bad = [*recs]
+    bad[2] = bad[2].replace(b"c" * 500, b"c" * 499 + b"X")
+    found, gaps = warc.salvage(warc.gzip_member(b"".join(bad)))
+    assert [r["page_id"] for r in found] == [0, 1, 3, 4, 5] and [g[2] for g in gaps] == ["block digest differs"]
+    stream = warc.gzip_member(b"".join(recs))
+    found, gaps = warc.salvage(stream[: int(len(stream) * 0.8)])
+    assert [r["page_id"] for r in found] == list(range(len(found))) and len(found) >= 3 and len(gaps) == 1 and gaps[0][1] == int(len(stream) * 0.8)
+
+
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "<p>b</p>")], "page_id bigint, url string, html string")
+    written = warc.write_archives(warc.plan_records(pages), str(tmp_path))
+    (tmp_path / "pages-000000-0000-stale.warc.gz").write_bytes(warc.gzip_member(warc.build_record(1, "u", b"old")))
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path), written=written).collect()) == [1, 2]
+
+
+def test_repeated_query_ids_ask_by_their_first_vector(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(20, rng.normal(size=8).tolist())]
+    get = lambda x: sorted(map(tuple, neighbours.op_rows(spark.createDataFrame(x, "vec_id bigint, embedding array<double>")).collect()))
+    assert get(rows) == get(rows[::-1])
+
+
+def test_frequent_values_lose_no_exact_repeat(spark):
+    """A line of 20 words that all documents hold, each elsewhere, inside passages that pairs of documents share."""
+    line, rows = words(20, 77), []
+    for i in range(60):
+        shared = " ".join([words(20, 100 + i), line, words(20, 200 + i)])
+        rows += [(2 * i, " ".join([words(30, 1000 + i), line, words(30, 2000 + i), shared, words(30, 3000 + i)])), (2 * i + 1, " ".join([words(30, 4000 + i), shared, words(30, 5000 + i)]))]
+    got = marked(spark, rows)
+    assert all(min(s for s, _, _ in got[2 * i + 1]) <= 30 and max(e for _, e, _ in got[2 * i + 1]) >= 90 for i in range(60))
+
+
+def test_word_hashes_follow_the_words():
+    import pyarrow as pa
+
+    from quillflow.llm import common
+
+    texts = [b"", None, b" A\tb \n", b"a B", b"ab", b"x" * 5000, "é É日".encode(), b"a b c d e f", b"A B c D e F"]
+    h, n = common.word_hashes(pa.array(texts, pa.binary()))
+    flat = [w for t in texts for w in (t or b"").lower().split()]
+    assert n.tolist() == [len((t or b"").split()) for t in texts] and len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    s, k = common.rolled_shingles(h, n, 5)
+    assert k.tolist() == [0, 0, 0, 0, 0, 0, 0, 2, 2] and s[:2].tolist() == s[2:].tolist()
