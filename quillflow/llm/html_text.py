@@ -29,7 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br".split())
 SKIPPED = frozenset("script style noscript template head title nav aside footer form button select textarea input iframe object svg canvas dialog menu audio video map".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class names and ids that mark what is not the article.
+#: Class names and ids of block elements that mark what is not the article; as a part of a longer name they only make the element doubtful.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist respond replies disqus related recommended recommendations widget pagination pager".split()
 )
@@ -38,22 +38,22 @@ SIGMA, RADIUS, MOST = 1.0, 2, 0.9
 
 
 class _Blocks(HTMLParser):
-    """Collects blocks: (words, tags, characters in links, element that holds it); elements: their parent and whether they are an article."""
+    """Collects blocks: (words, tags, characters in links, element that holds it, outermost doubtful element around it or 0); elements: their parent and whether they are an article."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, int]] = []
+        self.blocks: list[tuple[str, int, int, int, int]] = []
         self.parents, self.article = [-1], [False]
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element that was current before, whether it is skipped
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, element that was current before, whether it is skipped, doubtful element before
         self.open: dict[str, int] = {}
-        self.current, self.skip, self.links, self.articles = 0, 0, 0, 0
+        self.current, self.skip, self.links, self.articles, self.doubt = 0, 0, 0, 0, 0
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, self.linked, self.current))
+            self.blocks.append((text, self.tags, self.linked, self.current, self.doubt))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -69,14 +69,15 @@ class _Blocks(HTMLParser):
             self.end_block()
             # an open element of the same kind in the same element ends here
             if (same := AUTO_CLOSE.get(tag)) and self.open.get(same):
-                for name, _, _ in reversed(self.stack):
+                for name, _, _, _ in reversed(self.stack):
                     if name == same:
                         self.handle_endtag(same)
                         break
                     if name not in INLINE and name != "p":
                         break
-        hidden = tag in SKIPPED or (tag == "header" and not self.articles) or self._hinted(tag, attrs)
-        self.stack.append((tag, self.current, hidden))
+        named, doubtful = self._hinted(tag, attrs)
+        hidden = tag in SKIPPED or (tag == "header" and not self.articles) or named
+        self.stack.append((tag, self.current, hidden, self.doubt))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.skip += hidden
         if tag == "a":
@@ -87,17 +88,21 @@ class _Blocks(HTMLParser):
             self.parents.append(self.current)
             self.article.append(is_article)
             self.current = len(self.parents) - 1
-
-    def _hinted(self, tag, attrs) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            tokens = {t for k, v in attrs if k in ("class", "id") and v and tag == "article" for t in v.lower().replace("-", " ").replace("_", " ").split()}
-            return bool(tokens & {"comment", "comments", "ad", "related", "promo", "teaser"})
-        for k, v in attrs:
-            if k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "role" and v in SKIPPED_ROLES):
-                return True
-            if k in ("class", "id") and v and not HINTS.isdisjoint(v.lower().replace("-", " ").replace("_", " ").split()):
-                return True
-        return False
+            if doubtful and not self.doubt:
+                self.doubt = self.current
+
+    def _hinted(self, tag, attrs) -> tuple[bool, bool]:
+        """Whether an element is not the article by its role or the whole of a class name or id, and whether a part of one makes it doubtful."""
+        if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in SKIPPED_ROLES) for k, v in attrs if tag not in ("html", "body", "main")):
+            return True, False
+        if tag in INLINE or tag in ("html", "body", "main"):
+            return False, False
+        names = {x for k, v in attrs if k in ("class", "id") and v for x in v.lower().split()}
+        if not names:
+            return False, False
+        if tag == "article":
+            return not names.isdisjoint({"comment", "comments", "ad", "related", "promo", "teaser"}), False
+        return not HINTS.isdisjoint(names), not HINTS.isdisjoint(y for x in names for y in x.replace("-", " ").replace("_", " ").split())
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -106,7 +111,7 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.end_block()
         while True:
-            name, current, hidden = self.stack.pop()
+            name, current, hidden, doubt = self.stack.pop()
             self.open[name] -= 1
             self.skip -= hidden
             if name == "a":
@@ -115,7 +120,7 @@ class _Blocks(HTMLParser):
                 if name != tag:
                     self.end_block()
                 self.articles -= self.article[self.current]
-                self.current = current
+                self.current, self.doubt = current, doubt
             if name == tag:
                 return
 
@@ -155,9 +160,11 @@ def main_text(page: str | None) -> str:
     ratio = size / np.maximum(1, [b[1] for b in p.blocks])
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     ratio = np.convolve(np.pad(ratio, RADIUS, "edge"), kernel / kernel.sum(), "valid")
-    mass = np.where(_upper_cluster(ratio), size, 0)
+    upper = _upper_cluster(ratio)
+    mass, fair = np.where(upper, size, 0), ratio >= ratio[upper].mean() / 2
     within = [0.0] * len(p.parents)
-    for (_, _, _, at), m in zip(p.blocks, mass):
+    good = {0, *(b[4] for b, f in zip(p.blocks, fair) if f)}
+    for (_, _, _, at, _), m in zip(p.blocks, mass):
         within[at] += m
     for e in range(len(p.parents) - 1, 0, -1):  # children come after their parents
         within[p.parents[e]] += within[e]
@@ -179,7 +186,7 @@ def main_text(page: str | None) -> str:
     inside[region] = True
     for e in range(region + 1, len(p.parents)):
         inside[e] = inside[p.parents[e]]
-    return "\n".join(text for text, _, linked, at in p.blocks if inside[at] and (articles or linked <= 0.6 * len(text)))
+    return "\n".join(text for text, _, linked, at, doubt in p.blocks if inside[at] and doubt in good and (articles or linked <= 0.6 * len(text)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

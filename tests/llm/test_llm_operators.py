@@ -635,3 +635,13 @@ def test_word_hashes_follow_the_words():
     assert n.tolist() == [len((t or b"").split()) for t in texts] and len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
     s, k = common.rolled_shingles(h, n, 5)
     assert k.tolist() == [0, 0, 0, 0, 0, 0, 0, 2, 2] and s[:2].tolist() == s[2:].tolist()
+
+
+def test_words_in_names_do_not_drop_article_text():
+    long = lambda i: words(40, i)
+    page = f"""<html><body><nav>menu</nav><article><p>{long(1)}</p><section id="related-work"><p>{long(2)}</p></section><p class="notice-board">{long(3)}</p>
+<p>a <span class="comment">b</span> <em class="ad">c</em> d {long(4)}</p><div class="notice">We use cookies on this page {long(5)}</div><div class="share-links"><a href="x">tweet</a><a href="y">mail</a></div><p>{long(6)}</p></article>
+<div class="ad">buy {long(7)}</div></body></html>"""
+    assert html_text.main_text(page) == "\n".join([long(1), long(2), long(3), f"a b c d {long(4)}", long(6)])
+    bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert html_text.main_text(bare) == html_text.main_text(page)
