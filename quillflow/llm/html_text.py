@@ -163,7 +163,7 @@ def main_text(page: str | None) -> str:
     upper = _upper_cluster(ratio)
     mass, fair = np.where(upper, size, 0), ratio >= ratio[upper].mean() / 2
     within = [0.0] * len(p.parents)
-    good = {0, *(b[4] for b, f in zip(p.blocks, fair) if f)}
+    good = {0, *(doubt for (text, _, linked, _, doubt), f in zip(p.blocks, fair) if f and linked <= 0.6 * len(text))}
     for (_, _, _, at, _), m in zip(p.blocks, mass):
         within[at] += m
     for e in range(len(p.parents) - 1, 0, -1):  # children come after their parents
