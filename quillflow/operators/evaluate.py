@@ -129,10 +129,11 @@ def qa_score(rows: DataFrame) -> DataFrame:
     g, p = T.clean_answer(F.col("gold")), T.clean_answer(F.col("pred"))
     as_int = F.coalesce((F.col("gold").try_cast("int") == F.floor(F.abs(F.col("pred").try_cast("double"))) * F.signum(F.col("pred").try_cast("double"))), F.lit(False)).cast("double")
     x, y = g.try_cast("double"), p.try_cast("double")
+    digits = lambda c: F.when(c.cast("string").contains("."), F.length(F.substring_index(c.cast("string"), ".", -1))).otherwise(3)
+    unit = F.pow(F.lit(10.0), F.greatest(F.least(digits(x), digits(y)), F.lit(2)))  # both numbers' own decimals, two at least
     close = F.lit(False)
-    for m in (0.01, 1.0, 100.0):
-        v = x * F.lit(m)
-        close = close | (F.abs(v - y) <= 0.01 * F.greatest(F.abs(v), F.abs(y))) | (F.round(v, 2) == F.round(y, 2))
+    for v in (x / 100, x, x * 100):
+        close = close | (F.abs(v - y) <= 0.01 * F.greatest(F.abs(v), F.abs(y))) | (F.rint(v * unit) == F.rint(y * unit))
     as_float = F.coalesce(close, F.lit(False)).cast("double")
     as_text = F.when(T.needs_exact_match(g), (g == p).cast("double")).otherwise(T.anls(g, p))
     sorted_ = lambda c: F.array_sort(F.transform(F.split(F.col(c), r"\|"), T.clean_answer))

@@ -19,8 +19,14 @@ def _ordered_distinct(df: DataFrame, by: list[str], value: str, order: list[str]
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias(out))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows without those of chunks that are reference lists, where a column says so."""
+    return rows.where(~F.coalesce("is_reference_list", F.lit(False))) if "is_reference_list" in rows.columns else rows
+
+
 def mentions(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Every touch of a node in order: entities of a chunk before the ends of its relations, which vote for the type concept."""
+    entities, relations = kept(entities), kept(relations)
     e = entities.select("chunk_ix", "chunk_id", F.col("ent_ix").alias("ix"), F.lit(0).alias("part"), "name", "type", "description")
     ends = [relations.select("chunk_ix", "chunk_id", (F.col("rel_ix") + 1_000_000).alias("ix"), F.lit(p).alias("part"), F.col(c).alias("name"), F.lit("concept").alias("type"), F.lit("").alias("description")) for p, c in ((0, "source"), (1, "target"))]
     return e.union(ends[0]).union(ends[1]).withColumn("node", T.norm_name(F.col("name"))).where("node <> ''")
@@ -41,7 +47,7 @@ def nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def edges(relations: DataFrame) -> DataFrame:
     """(a, b, weight, descriptions, chunk_ids): undirected edges between different nodes, weights summed."""
-    r = relations.withColumn("s", T.norm_name(F.col("source"))).withColumn("t", T.norm_name(F.col("target"))).where("s <> '' AND t <> '' AND s <> t")
+    r = kept(relations).withColumn("s", T.norm_name(F.col("source"))).withColumn("t", T.norm_name(F.col("target"))).where("s <> '' AND t <> '' AND s <> t")
     r = r.withColumn("a", F.least("s", "t")).withColumn("b", F.greatest("s", "t"))
     sums = r.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
     described = _ordered_distinct(r, ["a", "b"], "description", ["chunk_ix", "rel_ix"], "descriptions")

@@ -75,7 +75,7 @@ def reference_spans(s, d):
 
 def recall_both_ways(s, d):
     r = _docs(s, d).select((N() % 20).alias("query_id"), F.floor(N() / 20).alias("rank"), F.floor(N() / 60).alias("page"))
-    gold = _docs(s, d).where("doc_id % 3 = 0 AND doc_id < 400").select((N() % 20).alias("query_id"), F.floor(N() / 60).alias("page"))
+    gold = _docs(s, d).where("doc_id % 3 = 0").select((N() % 20).alias("query_id"), F.floor(N() / 60).alias("page"))
     out = audit.recall_both_ways(r, gold, 4)
     return out.select("query_id", F.round("pages_first", 6).alias("pages_first"), F.round("chunks_first", 6).alias("chunks_first"))
 
@@ -124,8 +124,8 @@ def note_format(s, d):
 
 def figure_injection(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see Figure "), (F.col("item_id") % 5).cast("string"), F.lit(", table "), (F.col("item_id") % 4).cast("string"), F.lit(" and fig. 2")).alias("text"))
-    top = _docs(s, d).where("doc_id < 200").select((N() % 40).alias("query_id"), (N() % 20).alias("paper"), F.floor(N() / 40).alias("rank"))
-    figs = _docs(s, d).where("doc_id < 100").select(N().alias("figure_id"), (N() % 20).alias("paper"), F.when(N() % 2 == 0, "figure").otherwise("table").alias("kind"), (N() % 5).cast("string").alias("n"))
+    top = _docs(s, d).select((N() % 40).alias("query_id"), (N() % 20).alias("paper"), F.floor(N() / 40).alias("rank"))
+    figs = _docs(s, d).select(N().alias("figure_id"), (N() % 20).alias("paper"), F.when(N() % 2 == 0, "figure").otherwise("table").alias("kind"), (N() % 5).cast("string").alias("n"))
     return audit.injected_figures(q, top, figs)
 
 
@@ -161,7 +161,7 @@ SELECT doc_id, CASE WHEN nf = '' THEN false WHEN contains(nt, nf) THEN true ELSE
 s AS (SELECT paper, n, min(idx) AS start FROM c WHERE idx % 10 = 7 AND idx >= n // 2 GROUP BY ALL)
 SELECT s.paper, s.start, coalesce(min(c.idx), s.n) AS "end" FROM s LEFT JOIN c ON c.paper = s.paper AND c.idx > s.start AND c.idx % 10 = 9 GROUP BY s.paper, s.start, s.n""",
     "recall_both_ways": """WITH f AS (SELECT doc_id % 20 AS q, doc_id // 60 AS page, min(doc_id // 20) AS rank FROM documents GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) - 1 AS place FROM f),
-g AS (SELECT DISTINCT doc_id % 20 AS q, doc_id // 60 AS page FROM documents WHERE doc_id % 3 = 0 AND doc_id < 400)
+g AS (SELECT DISTINCT doc_id % 20 AS q, doc_id // 60 AS page FROM documents WHERE doc_id % 3 = 0)
 SELECT g.q AS query_id, round(count(*) FILTER (place < 4) / count(*), 6) AS pages_first, round(count(*) FILTER (rank < 4) / count(*), 6) AS chunks_first FROM g LEFT JOIN p ON p.q = g.q AND p.page = g.page GROUP BY 1""",
     "selective_gate": f"{_E} SELECT category, count(*) AS n, round(avg(b), 6) AS base, round(avg(o), 6) AS other, round(avg(o) - avg(b), 6) AS delta, round(0.05 * sqrt(40 / count(*)), 6) AS noise, avg(o) >= avg(b) AS gate_on FROM a GROUP BY 1",
     "policy_means": f"{_E}, c AS (SELECT category, count(*) AS n, sum(b) AS b, sum(o) AS o, sum(greatest(b, o)) AS best FROM a GROUP BY 1) SELECT round(sum(b) / sum(n), 6) AS base, round(sum(o) / sum(n), 6) AS other, round(sum(greatest(b, o)) / sum(n), 6) AS by_category, round(sum(best) / sum(n), 6) AS by_query FROM c",
@@ -171,8 +171,8 @@ SELECT g.q AS query_id, round(count(*) FILTER (place < 4) / count(*), 6) AS page
     "label_probe": "SELECT doc_id FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT min(doc_id) FROM documents WHERE doc_id % 9 <> 0 GROUP BY source",
     "note_format": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'Str' END AS format FROM documents",
     "figure_injection": """WITH r AS (SELECT item_id AS q, 0 AS ref, 'table' AS kind, item_id % 4 AS n FROM benchmark UNION ALL SELECT item_id, 1, 'figure', item_id % 5 FROM benchmark UNION ALL SELECT item_id, 2, 'figure', 2 FROM benchmark WHERE item_id % 5 <> 2),
-p AS (SELECT * FROM (SELECT q, paper, row_number() OVER (PARTITION BY q ORDER BY rank) AS p FROM (SELECT doc_id % 40 AS q, doc_id % 20 AS paper, min(doc_id // 40) AS rank FROM documents WHERE doc_id < 200 GROUP BY ALL)) WHERE p <= 3),
-f AS (SELECT r.q, ref, arg_min(doc_id, p * 1000 + doc_id) AS fig FROM r JOIN p ON p.q = r.q JOIN documents d ON doc_id < 100 AND doc_id % 20 = paper AND doc_id % 5 = n AND (kind = 'figure') = (doc_id % 2 = 0) GROUP BY ALL)
+p AS (SELECT * FROM (SELECT q, paper, row_number() OVER (PARTITION BY q ORDER BY rank) AS p FROM (SELECT doc_id % 40 AS q, doc_id % 20 AS paper, min(doc_id // 40) AS rank FROM documents GROUP BY ALL)) WHERE p <= 3),
+f AS (SELECT r.q, ref, arg_min(doc_id, p * 1000000000000 + doc_id) AS fig FROM r JOIN p ON p.q = r.q JOIN documents d ON doc_id % 20 = paper AND doc_id % 5 = n AND (kind = 'figure') = (doc_id % 2 = 0) GROUP BY ALL)
 SELECT q AS query_id, fig AS figure_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ref) AS i FROM f) WHERE i <= 2""",
     "order_priorities": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

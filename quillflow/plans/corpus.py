@@ -37,12 +37,12 @@ def page_spans(s, d):
 
 
 def soup_filter(s, d):
-    digits = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.substring("text", 1, 90), "[a-z]", "1")).otherwise(F.substring("text", 1, 90))
+    digits = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[a-z]", "1")).otherwise(F.col("text"))
     return table(s, d, "documents").select("doc_id", T.is_soup(digits).alias("soup"))
 
 
 def junk_share(s, d):
-    rows = table(s, d, "documents").select("source", F.length("text").alias("n"), (T.is_soup(F.substring("text", 1, 40))).alias("junk"))
+    rows = table(s, d, "documents").select("source", F.length("text").alias("n"), T.is_soup(F.col("text")).alias("junk"))
     out = rows.rollup("source").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("junk"), F.col("n")).otherwise(0)).alias("junk"))
     return out.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "total", "junk", F.round(F.col("junk") / F.col("total"), 6).alias("share"))
 
@@ -91,11 +91,11 @@ def injected_scorer(s, d):
 
 
 def _boxes(s, d, name: str, shift: int):
-    """A box for each line item of the first orders, ten to a page."""
+    """A box for each line item, ten orders to a page."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    li = table(s, d, "lineitem").where("l_orderkey <= 400").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("q"))
+    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("q"))
     x0, y0 = ((F.col("p") + shift) % 40 * 10).cast("double"), ((F.col("q") * 7 + shift) % 60 * 10).cast("double")
-    return li.select(k.alias(name), (F.col("l_orderkey") % 40).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.col("l_linenumber") * 20).alias("x1"), (y0 + 20 + F.col("p") % 9 * 10).alias("y1"))
+    return li.select(k.alias(name), F.floor(F.col("l_orderkey") / 10).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.col("l_linenumber") * 20).alias("x1"), (y0 + 20 + F.col("p") % 9 * 10).alias("y1"))
 
 
 def bbox_outside(s, d):
@@ -138,9 +138,9 @@ def table_markdown(s, d):
 def _extracted(s, d):
     """Entities and relations: the first words of the chunks."""
     w = F.split(T.collapse(F.col("text")), " ")
-    docs = table(s, d, "documents").where("doc_id % 13 <> 0").select("doc_id", F.slice(w, 1, 4).alias("w"), "lang", "source")
-    ents = docs.select(F.col("doc_id").alias("chunk_ix"), F.col("doc_id").cast("string").alias("chunk_id"), F.posexplode("w").alias("ent_ix", "name"), F.when(F.col("doc_id") % 2 == 0, "method").otherwise("dataset").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("description"))
-    rels = docs.where(F.size("w") >= 3).select(F.col("doc_id").alias("chunk_ix"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("rel_ix"), F.get("w", F.lit(0)).alias("source"), F.get("w", F.lit(2)).alias("target"), F.col("lang").alias("description"), (F.col("doc_id") % 4 + 1).cast("double").alias("weight"))
+    docs = table(s, d, "documents").select("doc_id", F.slice(w, 1, 4).alias("w"), "lang", "source", (F.col("doc_id") % 13 == 0).alias("is_reference_list"))
+    ents = docs.select(F.col("doc_id").alias("chunk_ix"), F.col("doc_id").cast("string").alias("chunk_id"), F.posexplode("w").alias("ent_ix", "name"), F.when(F.col("doc_id") % 2 == 0, "method").otherwise("dataset").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("description"), "is_reference_list")
+    rels = docs.where(F.size("w") >= 3).select(F.col("doc_id").alias("chunk_ix"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("rel_ix"), F.get("w", F.lit(0)).alias("source"), F.get("w", F.lit(2)).alias("target"), F.col("lang").alias("description"), (F.col("doc_id") % 4 + 1).cast("double").alias("weight"), "is_reference_list")
     return ents, rels
 
 
@@ -245,7 +245,7 @@ def chunk_dump(s, d):
 
 def snapshot_diff(s, d):
     o = lambda p: table(s, d, "orders").where(p).agg(F.count("*").alias("n"), F.max("o_custkey").alias("most"), F.lit(7).alias("same"))
-    return browse.snapshot_diff(o("o_orderkey < 100"), o("o_orderkey < 300"))
+    return browse.snapshot_diff(o("o_orderkey % 3 <> 0"), o("true"))
 
 
 def prompt_version(s, d):
@@ -298,10 +298,10 @@ _SOUP = r"""(length(regexp_replace(x, '\s+', '', 'g')) = 0 OR (NOT (regexp_match
 
 
 def _box(name: str, shift: int) -> str:
-    return f"(SELECT l_orderkey * 10 + l_linenumber AS {name}, l_orderkey % 40 AS page, x0, y0, x0 + 30 + l_linenumber * 20 AS x1, y0 + 20 + p % 9 * 10 AS y1 FROM (SELECT l_orderkey, l_linenumber, p, ((p + {shift}) % 40 * 10)::DOUBLE AS x0, ((q * 7 + {shift}) % 60 * 10)::DOUBLE AS y0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS q FROM lineitem WHERE l_orderkey <= 400 GROUP BY ALL)))"
+    return f"(SELECT l_orderkey * 10 + l_linenumber AS {name}, l_orderkey // 10 AS page, x0, y0, x0 + 30 + l_linenumber * 20 AS x1, y0 + 20 + p % 9 * 10 AS y1 FROM (SELECT l_orderkey, l_linenumber, p, ((p + {shift}) % 40 * 10)::DOUBLE AS x0, ((q * 7 + {shift}) % 60 * 10)::DOUBLE AS y0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS q FROM lineitem GROUP BY ALL)))"
 
 
-_G = r"""dw AS (SELECT doc_id, lang, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:4] AS w FROM documents WHERE doc_id % 13 <> 0),
+_G = r"""dw AS (SELECT doc_id, lang, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:4] AS w FROM documents WHERE NOT doc_id % 13 = 0),
 en AS (SELECT doc_id, unnest(w) AS name, unnest(range(len(w))) AS ix, 0 AS part, CASE WHEN doc_id % 2 = 0 THEN 'method' ELSE 'dataset' END AS type, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS d FROM dw),
 rl AS (SELECT doc_id, w[1] AS s, w[3] AS t, lang AS d, (doc_id % 4 + 1)::DOUBLE AS weight FROM dw WHERE len(w) >= 3),
 mn AS (SELECT *, lower(trim(name)) AS node FROM (SELECT * FROM en UNION ALL SELECT doc_id, s, 1000000, 0, 'concept', '' FROM rl UNION ALL SELECT doc_id, t, 1000000, 1, 'concept', '' FROM rl) WHERE trim(name) <> ''),
@@ -318,8 +318,8 @@ n AS (SELECT page_number, l, clean, list_filter(range(1, len(l) + 1), lambda i:
 r AS (SELECT page_number, array_to_string(CASE WHEN clean AND len(vis) > 0 THEN l[vis[1]:] WHEN clean THEN [] ELSE l END, chr(10)) AS body FROM n)
 SELECT page_number, length(body) AS n, md5(body) AS digest FROM r""",
     "page_spans": "SELECT source AS paper, doc_id AS page_number, s AS start, s + length(text) AS end FROM (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM documents)",
-    "soup_filter": f"SELECT doc_id, {_SOUP} AS soup FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(substr(text, 1, 90), '[a-z]', '1', 'g') ELSE substr(text, 1, 90) END AS x FROM documents)",
-    "junk_share": f"SELECT coalesce(source, 'TOTAL') AS source, sum(n)::BIGINT AS total, sum(CASE WHEN junk THEN n ELSE 0 END)::BIGINT AS junk, round(sum(CASE WHEN junk THEN n ELSE 0 END) / sum(n), 6) AS share FROM (SELECT source, length(text) AS n, {_SOUP} AS junk FROM (SELECT source, text, substr(text, 1, 40) AS x FROM documents)) GROUP BY ROLLUP (source)",
+    "soup_filter": f"SELECT doc_id, {_SOUP} AS soup FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[a-z]', '1', 'g') ELSE text END AS x FROM documents)",
+    "junk_share": f"SELECT coalesce(source, 'TOTAL') AS source, sum(n)::BIGINT AS total, sum(CASE WHEN junk THEN n ELSE 0 END)::BIGINT AS junk, round(sum(CASE WHEN junk THEN n ELSE 0 END) / sum(n), 6) AS share FROM (SELECT source, length(text) AS n, {_SOUP} AS junk FROM (SELECT source, text, text AS x FROM documents)) GROUP BY ROLLUP (source)",
     "headings": f"WITH {_H} SELECT doc_id, start, title FROM hd",
     "sections": f"""WITH {_H} SELECT hd.doc_id, least(body_start, length(text)) AS start, coalesce(lead(start) OVER (PARTITION BY hd.doc_id ORDER BY start), length(text)) AS end, title FROM hd JOIN h ON h.doc_id = hd.doc_id QUALIFY least(body_start, length(text)) < coalesce(lead(start) OVER (PARTITION BY hd.doc_id ORDER BY start), length(text))
 UNION ALL SELECT h.doc_id, 0, coalesce(f, length(text)), NULL FROM h LEFT JOIN (SELECT doc_id, min(start) AS f FROM hd GROUP BY 1) m ON m.doc_id = h.doc_id WHERE regexp_replace(substr(text, 1, coalesce(f, length(text))), '\\s', '', 'g') <> ''""",
@@ -356,7 +356,7 @@ list_sort(list(n))[count(*) // 2 + 1] AS median_chars, list_sort(list(n))[floor(
     "quota_daily": "SELECT ts::DATE::VARCHAR AS day, least(count(*), 250) AS allowed, count(*) AS used FROM events GROUP BY 1",
     "min_max_scale": "SELECT event_id AS id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)",
     "chunk_dump": "SELECT doc_id AS chunk_id, substr(replace(text, chr(10), ' '), 1, 280) AS preview FROM documents",
-    "snapshot_diff": "WITH o AS (SELECT count(*)::DOUBLE AS n, max(o_custkey)::DOUBLE AS m FROM orders WHERE o_orderkey < 100), p AS (SELECT count(*)::DOUBLE AS n, max(o_custkey)::DOUBLE AS m FROM orders WHERE o_orderkey < 300) SELECT 'n' AS metric, o.n AS old, p.n AS new FROM o, p WHERE o.n <> p.n UNION ALL SELECT 'most', o.m, p.m FROM o, p WHERE o.m <> p.m",
+    "snapshot_diff": "WITH o AS (SELECT count(*)::DOUBLE AS n, max(o_custkey)::DOUBLE AS m FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT count(*)::DOUBLE AS n, max(o_custkey)::DOUBLE AS m FROM orders) SELECT 'n' AS metric, o.n AS old, p.n AS new FROM o, p WHERE o.n <> p.n UNION ALL SELECT 'most', o.m, p.m FROM o, p WHERE o.m <> p.m",
     "prompt_version": "SELECT doc_id::VARCHAR AS name, 'v1-' || substr(sha256(text), 1, 12) AS version FROM documents",
     "judge_parse": "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN greatest(0.0, least(1.0, (doc_id - 50) / 100))::DOUBLE END AS score FROM documents",
     "stream_quota": "SELECT ts::DATE::VARCHAR AS day, count(*) AS used, least(count(*), 250) AS allowed FROM events GROUP BY 1",

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import browse, evaluate, fusion
+from ..operators import bm25, browse, evaluate, fusion
 from ..sources.readers import table
 from .retrieval import _BM25, _DENSE, _PAGES, _asked, _fused, _hits, _page_legs, _top
 
 
 def _gold(s, d):
-    """Each passage with the documents that hold its first 40 characters; none makes it out of the corpus."""
-    q = _asked(s, d).select("query_id", F.substring("text", 1, 40).alias("head"))
+    """Each passage with the documents that hold it; none makes it out of the corpus."""
+    q = _asked(s, d).select("query_id", F.col("text").alias("head"))
     docs = table(s, d, "documents").select("doc_id", "text")
-    found = docs.join(F.broadcast(q), F.contains("text", "head")).groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("relevant"))
+    found = docs.join(bm25.sized_broadcast(q), F.contains("text", "head")).groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("relevant"))
     out = q.select("query_id").join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<string>")))
     cat = F.when(F.size("relevant") == 0, "out_of_corpus").when(F.col("query_id") % 3 == 0, "figure").otherwise("factual")
     return out.select("query_id", cat.alias("category"), "relevant")
@@ -171,7 +171,7 @@ def visible_terms(s, d):
     return table(s, d, "benchmark").select("item_id", F.array_join(T.terms(F.col("text")), " ").alias("terms"), F.size(T.tokens(F.col("text"))).alias("n"))
 
 
-_GOLD = """g0 AS (SELECT item_id AS query_id, list_sort(list(d.doc_id::VARCHAR) FILTER (d.doc_id IS NOT NULL)) AS relevant FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY 1),
+_GOLD = """g0 AS (SELECT item_id AS query_id, list_sort(list(d.doc_id::VARCHAR) FILTER (d.doc_id IS NOT NULL)) AS relevant FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
 gold AS (SELECT query_id, CASE WHEN len(coalesce(relevant, [])) = 0 THEN 'out_of_corpus' WHEN query_id % 3 = 0 THEN 'figure' ELSE 'factual' END AS category, coalesce(relevant, []) AS relevant FROM g0)"""
 _EN = _top(10, "d.lang = 'en'").replace("hits AS", "hits_en AS")
 

@@ -41,7 +41,7 @@ def bm25_filtered(s, d):
 
 
 def bm25_padded(s, d):
-    docs, q = _docs(s, d), _asked(s, d).where("query_id < 5").withColumn("text", F.substring("text", 1, 12))
+    docs, q = _docs(s, d), _asked(s, d)
     out = bm25.pad_with_unmatched(bm25.search(docs, q, K), docs, q, K)
     return out.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("not_negative"))
 
@@ -57,19 +57,19 @@ def bm25_within_source(s, d):
 
 def cosine_topk(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    q = e.where("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    q = e.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
     return vectors.cosine_topk(e, q, 5, exclude_self=True).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 def cosine_filtered(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
-    q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"), F.col("label").alias("want"))
+    q = e.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"), F.col("label").alias("want"))
     return vectors.cosine_topk(e, q, 5, keep=F.col("label") == F.col("want")).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 def maxsim_pages(s, d):
     e = table(s, d, "embeddings").withColumn("page", F.floor(F.col("vec_id") / 10))
-    tok = e.where("page < 4").select(F.col("page").alias("query_id"), (F.col("vec_id") % 10).alias("tok"), F.col("embedding").alias("qvec"))
+    tok = e.where("page % 20 = 0").select(F.col("page").alias("query_id"), (F.col("vec_id") % 10).alias("tok"), F.col("embedding").alias("qvec"))
     pages = e.select(F.col("page").alias("doc_id"), F.col("embedding").alias("vec"))
     return vectors.maxsim(pages, tok, 5).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
@@ -141,9 +141,9 @@ def page_budget_route(s, d):
 
 
 def _labelled(s, d):
-    """Chunks that open like captions: ten results for each of ten queries."""
+    """Chunks that open like captions: ten results for each query."""
     kind = F.when(F.col("doc_id") % 3 == 0, "Figure").otherwise("Table")
-    return _docs(s, d).where("doc_id < 100").select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper"), (1.0 / (F.col("doc_id") % 10 + 1)).alias("score"), (F.col("doc_id") % 10).alias("rank"), F.concat(kind, F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(": see Table "), (F.col("doc_id") % 5).cast("string"), F.lit(" and Figure "), (F.col("doc_id") % 4).cast("string")).alias("text"))
+    return _docs(s, d).select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper"), (1.0 / (F.col("doc_id") % 10 + 1)).alias("score"), (F.col("doc_id") % 10).alias("rank"), F.concat(kind, F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(": see Table "), (F.col("doc_id") % 5).cast("string"), F.lit(" and Figure "), (F.col("doc_id") % 4).cast("string")).alias("text"))
 
 
 def region_boost(s, d):
@@ -154,7 +154,7 @@ def region_boost(s, d):
 
 def linked_artefacts(s, d):
     rows = _labelled(s, d)
-    return context.linked(rows.withColumn("paper", F.lit("p")), rows.withColumn("paper", F.lit("p"))).select("query_id", "chunk_id", "anchor_id")
+    return context.linked(rows.withColumn("paper", F.col("query_id")), rows.withColumn("paper", F.col("query_id"))).select("query_id", "chunk_id", "anchor_id")
 
 
 def context_expansion(s, d):
@@ -164,7 +164,7 @@ def context_expansion(s, d):
 
 
 def context_pack(s, d):
-    hits = _hits(s, d).join(_docs(s, d).select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "rank", "text")
+    hits = _hits(s, d).join(_docs(s, d).select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "rank", F.array(F.col("doc_id") % 7, F.col("doc_id") % 7 + 1).alias("page_numbers"), "text")
     return context.pack(hits, 6000).select("query_id", "chunk_id", "rank", "used")
 
 
@@ -179,8 +179,8 @@ def refusal_gate(s, d):
 
 def citations_extract(s, d):
     n = F.col("doc_id")
-    answers = _docs(s, d).where("doc_id < 200").select(n.alias("query_id"), F.concat(F.lit("By ["), (n + 2).cast("string"), F.lit("] and [chunk_id "), (n + 1).cast("string"), F.lit("], also ["), (n + 2).cast("string"), F.lit("] [see x]")).alias("answer"))
-    used = _docs(s, d).where("doc_id < 200").select(n.alias("query_id"), F.explode(F.array(*[(n + i).cast("string") for i in range(3)])).alias("chunk_id")).where("chunk_id % 3 <> 0")
+    answers = _docs(s, d).select(n.alias("query_id"), F.concat(F.lit("By ["), (n + 2).cast("string"), F.lit("] and [chunk_id "), (n + 1).cast("string"), F.lit("], also ["), (n + 2).cast("string"), F.lit("] [see x]")).alias("answer"))
+    used = _docs(s, d).select(n.alias("query_id"), F.explode(F.array(*[(n + i).cast("string") for i in range(3)])).alias("chunk_id")).where("chunk_id % 3 <> 0")
     return context.cited(answers, used)
 
 
@@ -238,18 +238,18 @@ SELECT query_id, page, sum(gain) AS fused, min(leg) AS leg0, arg_min(rank, leg *
 SELECT query_id, page, 0 AS leg, rank, 1.0 / (61 + rank) AS gain FROM tp UNION ALL SELECT query_id, page, 1, rank, {w}.0 / (61 + rank) FROM v) GROUP BY query_id, page)) WHERE rank < {top}"""
 
 
-_BEST = "(SELECT query_id, page, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, rank) AS n FROM {}) WHERE n = 1)"
+_BEST = "(SELECT query_id, page, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY {}) AS n FROM {}) WHERE n = 1)"
 _CATEGORY = r"""CASE WHEN regexp_matches(text, '(?i)\btable\s+\d+|\bcell\b|\brow\b|\bcolumn\b') THEN 'table'
 WHEN regexp_matches(text, '(?i)\bfigure\s+\d+|\bfig\.\s*\d+|\bplot\b|\bdiagram\b|\bchart\b|\bgraphs?\b') THEN 'figure'
 WHEN regexp_matches(text, '(?i)\bcompare\b|\bvs\.?\b|\bversus\b|\bdifferences?\b|\bbetween\b') THEN 'multi_hop'
 WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])(\d+(\.\d+)?|[A-Z]{2,})([^\p{L}\p{N}_]|$)') THEN 'factual' ELSE 'definitional' END"""
-_LAB = """lab AS (SELECT doc_id // 10 AS query_id, doc_id AS chunk_id, doc_id % 10 AS rank, CASE WHEN doc_id % 3 = 0 THEN 'figure' ELSE 'table' END AS kind, doc_id % 7 AS n, doc_id % 5 AS says_t, doc_id % 4 AS says_f FROM documents WHERE doc_id < 100)"""
+_LAB = """lab AS (SELECT doc_id // 10 AS query_id, doc_id AS chunk_id, doc_id % 10 AS rank, CASE WHEN doc_id % 3 = 0 THEN 'figure' ELSE 'table' END AS kind, doc_id % 7 AS n, doc_id % 5 AS says_t, doc_id % 4 AS says_f FROM documents)"""
 _SEARCHED = "the|haenble|ing"
 
 ORACLES = {
     "bm25_topk": f"WITH {_BM25}, {_top(10)} SELECT query_id, doc_id, rank + 1 AS rank, round(score, 6) AS score FROM hits",
     "bm25_filtered": f"WITH {_BM25}, {_top(5, chr(39).join(['d.lang = ', 'en', '']))} SELECT query_id, doc_id, rank + 1 AS rank, round(score, 6) AS score FROM hits",
-    "bm25_padded": "SELECT item_id AS query_id, 10::BIGINT AS n, 10::BIGINT AS not_negative FROM benchmark WHERE item_id < 5",
+    "bm25_padded": "SELECT item_id AS query_id, 10::BIGINT AS n, 10::BIGINT AS not_negative FROM benchmark",
     "term_stats": f"WITH {_BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term",
     "bm25_within_source": f"""WITH toks AS (SELECT doc_id, source, {_WORDS} AS t FROM documents),
 corpus AS (SELECT source, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY source),
@@ -259,9 +259,9 @@ idf AS (SELECT source, term, avgdl, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER
 asked AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS source, unnest({_WORDS}) AS term FROM benchmark),
 scored AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN idf USING (source, term) JOIN posts USING (source, term) GROUP BY ALL)
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""",
-    "cosine_topk": f"SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_UNIT}, 9) DESC, a.vec_id) AS rank, round({_UNIT}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5",
-    "cosine_filtered": f"SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_UNIT}, 9) DESC, a.vec_id) AS rank, round({_UNIT}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.label = b.label) WHERE rank <= 5",
-    "maxsim_pages": """WITH m AS (SELECT q.vec_id // 10 AS query_id, p.vec_id // 10 AS doc_id, q.vec_id AS tok, max(list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS m FROM embeddings q, embeddings p WHERE q.vec_id < 40 GROUP BY ALL),
+    "cosine_topk": f"SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_UNIT}, 9) DESC, a.vec_id) AS rank, round({_UNIT}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5",
+    "cosine_filtered": f"SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_UNIT}, 9) DESC, a.vec_id) AS rank, round({_UNIT}, 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.label = b.label) WHERE rank <= 5",
+    "maxsim_pages": """WITH m AS (SELECT q.vec_id // 10 AS query_id, p.vec_id // 10 AS doc_id, q.vec_id AS tok, max(list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS m FROM embeddings q, embeddings p WHERE q.vec_id // 10 % 20 = 0 GROUP BY ALL),
 s AS (SELECT query_id, doc_id, sum(m) AS score FROM m GROUP BY ALL)
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 4) AS score FROM s) WHERE rank <= 5""",
     "rrf_hybrid": f"""WITH {_BM25}, {_top(50)}, {_DENSE % 50},
@@ -270,7 +270,7 @@ f AS (SELECT query_id, id, sum(1.0 / (61 + rank)) AS score, min(leg * 1000 + ran
 SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) - 1 AS rank, round(score, 8) AS score FROM f) WHERE rank < 10""",
     "weighted_page_rrf": f"""{_PAGES}, f AS ({_fused(2)})
 SELECT f.query_id, f.page, coalesce(bt.id, bv.id) AS id, CASE WHEN bt.id IS NOT NULL THEN 'pipeline' ELSE 'visual' END AS source, f.rank, round(f.fused, 8) AS fused
-FROM f LEFT JOIN {_BEST.format("t")} bt ON bt.query_id = f.query_id AND bt.page = f.page LEFT JOIN {_BEST.format("v")} bv ON bv.query_id = f.query_id AND bv.page = f.page""",
+FROM f LEFT JOIN {_BEST.format("score DESC, rank", "t")} bt ON bt.query_id = f.query_id AND bt.page = f.page LEFT JOIN {_BEST.format("rank DESC", "v")} bv ON bv.query_id = f.query_id AND bv.page = f.page""",
     "weight_sweep": f"{_PAGES} " + " UNION ALL ".join(f"SELECT {w}::BIGINT AS weight, CASE WHEN f.query_id IN (SELECT query_id FROM tp WHERE tp.page = f.page) THEN 'pipeline' ELSE 'visual' END AS source, count(*) AS n FROM ({_fused(w)}) f GROUP BY ALL" for w in (1, 3, 6)),
     "first_pages": f"{_PAGES} SELECT query_id, page, rank FROM tp",
     "classify_queries": f"""WITH c AS (SELECT conv_id || '-' || turn AS query_id, {_CATEGORY} AS category, CASE WHEN conv_id % 7 = 0 THEN 'hybrid' WHEN conv_id % 11 = 0 THEN 'text' END AS f FROM conversations WHERE role = 'user')
@@ -287,19 +287,19 @@ UNION ALL SELECT query_id, doc_id, false FROM q JOIN n USING (source) JOIN hits
     "region_boost": f"""WITH {_LAB}, m AS (SELECT *, CASE WHEN kind = 'table' THEN n = query_id % 7 ELSE n = query_id % 5 END AS matched FROM lab)
 SELECT query_id, chunk_id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, rank) - 1 AS rank FROM m""",
     "linked_artefacts": f"""WITH {_LAB}, r AS (SELECT query_id, chunk_id AS anchor_id, kind, n FROM lab UNION SELECT query_id, chunk_id, 'table', says_t FROM lab UNION SELECT query_id, chunk_id, 'figure', says_f FROM lab)
-SELECT DISTINCT r.query_id, l.chunk_id, r.anchor_id FROM r JOIN lab l USING (kind, n) WHERE l.chunk_id <> r.anchor_id""",
+SELECT DISTINCT r.query_id, l.chunk_id, r.anchor_id FROM r JOIN lab l USING (query_id, kind, n) WHERE l.chunk_id <> r.anchor_id""",
     "context_expansion": f"""WITH {_BM25}, {_top(5)}, c AS (SELECT doc_id, doc_id % 20 AS paper, doc_id // 100 AS page, (doc_id % 100) // 20 AS idx FROM documents),
 a AS (SELECT query_id, doc_id, score, rank, paper, page, idx FROM hits JOIN c USING (doc_id)),
 e AS (SELECT query_id, doc_id, score, 0 AS kind, rank AS anchor, 0 AS step FROM a UNION ALL SELECT a.query_id, c.doc_id, a.score * 0.5, 1, a.rank, CASE WHEN c.idx < a.idx THEN 0 ELSE 1 END FROM a JOIN c ON c.paper = a.paper AND c.page = a.page AND abs(c.idx - a.idx) = 1),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY kind, anchor, step) AS n FROM e)
-SELECT query_id, doc_id AS chunk_id, kind = 1 AS expanded, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, anchor, step) - 1 AS rank FROM f WHERE n = 1) WHERE rank < 12""",
-    "context_pack": f"""WITH {_BM25}, {_top(10)}, r AS (SELECT query_id, doc_id AS chunk_id, rank, sum(length(text) + 2) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits JOIN documents USING (doc_id)),
+SELECT query_id, doc_id AS chunk_id, kind = 1 AS expanded, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, anchor, step) - 1 AS rank, sum(kind) OVER (PARTITION BY query_id ORDER BY kind, anchor, step) AS added FROM f WHERE n = 1) WHERE added <= 12""",
+    "context_pack": f"""WITH {_BM25}, {_top(10)}, r AS (SELECT query_id, doc_id AS chunk_id, rank, sum(length('[' || doc_id || '] (pages ' || doc_id % 7 || ', ' || doc_id % 7 + 1 || ') ' || text) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 AS used FROM hits JOIN documents USING (doc_id)),
 o AS (SELECT *, max(CASE WHEN used > 6000 AND rank > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM r)
 SELECT query_id, chunk_id, rank, used::BIGINT AS used FROM o WHERE over = 0""",
     "rerank_penalty": f"""WITH {_BM25}, {_top(10)}, r AS (SELECT query_id, doc_id AS chunk_id, rank AS r0, (length(text) % 97) / 97.0 - CASE WHEN length(text) < 300 THEN 0.5 * (1 - length(text) / 300.0) ELSE 0 END AS s FROM hits JOIN documents USING (doc_id))
 SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s::DOUBLE, 9) DESC, r0) - 1 AS rank, round(s::DOUBLE, 6) AS rerank_score FROM r) WHERE rank < 5""",
     "refusal_gate": f"WITH {_BM25}, {_top(10)} SELECT item_id AS query_id, coalesce(max(score) < 100, true) AS refused FROM benchmark LEFT JOIN hits ON query_id = item_id GROUP BY 1",
-    "citations_extract": """WITH c AS (SELECT doc_id AS query_id, unnest([doc_id + 2, doc_id + 1]) AS c, unnest([1, 2]) AS p FROM documents WHERE doc_id < 200)
+    "citations_extract": """WITH c AS (SELECT doc_id AS query_id, unnest([doc_id + 2, doc_id + 1]) AS c, unnest([1, 2]) AS p FROM documents)
 SELECT query_id, c::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS number FROM c WHERE c % 3 <> 0""",
     "decoration_filter": f"WITH {_BM25}, {_top(10)} SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM hits WHERE doc_id % 4 <> 0",
     "lex_search": f"SELECT doc_id, len(regexp_extract_all(lower(text), '{_SEARCHED}'))::BIGINT AS score FROM documents ORDER BY score DESC, doc_id DESC LIMIT 10",
