@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audits, corpus, evaluation, retrieval
+from . import audits, compose, corpus, evaluation, retrieval
 
 
 def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,7 +21,7 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-PARTS = (retrieval, corpus, evaluation, audits)
+PARTS = (retrieval, corpus, evaluation, audits, compose)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
