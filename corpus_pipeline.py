@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillflow.llm import decontam, mixing, passages, quality, simhash
 from quillflow.llm.common import new_path, settle
 
-#: No SQL states the classifier, the fingerprints or the shuffle; tests hold every stage against a brute-force version.
+#: No SQL states the classifier, the fingerprints or the shuffle; the tests of the operators hold what the stages call.
 ORACLE_SQL = None
 
 
