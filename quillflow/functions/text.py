@@ -67,7 +67,7 @@ def content_hash(text: Column) -> Column:
 
 
 #: Function words that mark prose, and the openings of a refusal.
-PROSE_WORDS = ("the", "and", "that", "with", "this", "from", "which", "where", "are")
+PROSE = r"(?i)\b(the|and|that|with|this|from|which|where|are)\b"
 REFUSALS = ("not stated in the provided context", "i cannot answer this question from the provided corpus")
 
 
@@ -77,7 +77,7 @@ def is_soup(text: Column) -> Column:
     dense = F.length(F.regexp_replace(t, r"\s+", ""))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     longs = F.regexp_count(t, F.lit("[A-Za-z]{3,}"))
-    prose = t.rlike(r"(?i)\b(" + "|".join(PROSE_WORDS) + r")\b") & (longs >= 8)
+    prose = t.rlike(PROSE) & (longs >= 8)
     return (dense == 0) | (~prose & (letters < 0.45 * dense) & (longs < 12))
 
 
@@ -112,6 +112,7 @@ def clean_answer(value: Column) -> Column:
 
 def needs_exact_match(value: Column) -> Column:
     """Whether an answer is a link, file, page, number, time, date or address, which must match as it is."""
+    # The patterns of such answers.
     return (
         value.contains("https://") | value.rlike(r"(\.py|ipynb)$") | value.startswith("page") | value.rlike(r"^\d+(-\d+|\s\d+)?$") | value.contains("a.m.") | value.contains("p.m.")
         | value.rlike(r"^\d{4}[-\s]\d{2}([-\s]\d{2})?$") | value.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")

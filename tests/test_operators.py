@@ -157,3 +157,20 @@ def test_incremental_index(spark, tmp_path):
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / "in"))
     jobs.index_batches(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(col(spark.read.parquet(str(tmp_path / "ix")), "term", "tf")) == [("a", 2), ("b", 1)]
+
+
+def test_packing_counts_what_separates_kept_blocks_only(spark):
+    rows = [(1, "a", 0, "x" * 10), (1, "b", 1, "y" * 10)]
+    r = spark.createDataFrame(rows, "query_id int, chunk_id string, rank int, text string")
+    assert [x[0] for x in sorted(col(context.pack(r, 22), "chunk_id"))] == ["a", "b"] and len(context.pack(r, 21).collect()) == 1
+    named = r.withColumn("page_numbers", F.array(F.lit(3), F.lit(4)))
+    assert context.pack(named, 100).agg(F.max("used")).first()[0] == 2 * len("[a] (pages 3, 4) " + "x" * 10) + 2
+
+
+def test_expansion_cap_counts_additions(spark):
+    chunks = spark.createDataFrame([(i, 0, 0, i) for i in range(60)], "chunk_id int, paper int, page int, idx int")
+    hits = spark.createDataFrame([(1, 3 * i + 1, 1.0, i) for i in range(10)], "query_id int, chunk_id int, score double, rank int")
+    assert context.expand(hits, chunks).count() == 22
+    links = spark.createDataFrame([(1, 50, 1)], "query_id int, chunk_id int, anchor_id int")
+    got = [r["chunk_id"] for r in context.expand(hits, chunks, links=links).orderBy("rank").collect()]
+    assert got[10:14] == [0, 2, 50, 3] and len(got) == 22
