@@ -283,7 +283,8 @@ def stream_rate_limit(s, d):
 
 
 def stream_sessions(s, d):
-    return _stream(s, d, lambda e: jobs.sessions(e, "6 hours")).select("user_id", F.col("start").cast("string").alias("start"), "n")
+    below = "5 hours 59 minutes 59 seconds 999 milliseconds 999 microseconds"  # a pause of six hours exactly begins a session
+    return _stream(s, d, lambda e: jobs.sessions(e, below)).select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 
 _P = """p AS (SELECT source AS paper, doc_id AS page_number, CASE WHEN doc_id % 5 <> 0 THEN 'Report of ' || source END AS head, text FROM documents)"""

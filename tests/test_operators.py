@@ -219,3 +219,25 @@ def test_stream_result_stays_out_of_the_driver(spark, tmp_path):
     assert whole.inputFiles() and sum(r["used"] for r in whole.collect()) == 6 and whole.count() == 5
     appended = jobs.run_available(src().select("event_id"), "appended", f"{tmp_path}/c2/", "append")
     assert appended.inputFiles() and sorted(col(appended, "event_id")) == [(0,), (0,), (0,), (1,), (1,), (2,)]
+
+
+def test_session_state_is_on_disk(spark, tmp_path):
+    """State of sessions is RocksDB's files, and the session's setting is as before."""
+    import glob
+
+    from quillflow.streaming import jobs
+
+    spark.sql("SELECT id AS event_id, timestamp_seconds(id * 3600 * (1 + id % 3)) AS ts, 7L AS user_id, 'a' AS event_type, 1.0D AS value, '' AS props FROM range(9)").write.parquet(f"{tmp_path}/events")
+    before = spark.conf.get(jobs.STATE[0])
+    out = jobs.run_available(jobs.sessions(jobs.events(spark, f"{tmp_path}/events"), "2 hours"), "visits", f"{tmp_path}/c")
+    # hours 0, 2, 3, 6, 6, 8, 14, 15, 24: a pause of more than two hours begins a visit
+    assert sorted(n for (n,) in col(out, "n")) == [1, 2, 3, 3]
+    assert glob.glob(f"{tmp_path}/c/state/**/*.zip", recursive=True) and spark.conf.get(jobs.STATE[0]) == before
+
+
+def test_pause_of_six_hours_begins_a_session(spark, tmp_path):
+    """The SQL begins a session at a pause of six hours exactly."""
+    from quillflow.plans import corpus
+
+    spark.sql("SELECT id AS event_id, timestamp_seconds(id * 21600) AS ts, 7L AS user_id, 'a' AS event_type, 1.0D AS value, '' AS props FROM range(3)").write.parquet(f"{tmp_path}/events.parquet")
+    assert col(corpus.stream_sessions(spark, str(tmp_path)), "n") == [(1,)] * 3
