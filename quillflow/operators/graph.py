@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -71,17 +74,67 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+#: Most ends of edges, and most nodes, whose rounds run within one task.
+ONE_TASK = 2_000_000
+
+
+def _rounds_in_task(total: float, rounds: int):
+    """From rows (u, v, w, odd), nodes with their degree where v is null and ends of edges otherwise, to (node, community): the rounds of communities on arrays.  Numbers of nodes are in the order of their names."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        if not t.num_rows:
+            return
+        is_node = pc.is_null(t["v"])
+        own, ends = t.filter(is_node), t.filter(pc.invert(is_node))
+        own = own.take(pc.sort_indices(own["u"]))
+        names, n = own["u"], own.num_rows
+        k, odd = own["w"].to_numpy(), own["odd"].to_numpy()
+        u, v = (pc.index_in(ends[x], value_set=names) for x in ("u", "v"))
+        known = pc.and_(pc.is_valid(u), pc.is_valid(v))
+        u, v = (x.filter(known).to_numpy().astype(np.int64) for x in (u, v))
+        weight = ends["w"].filter(known).to_numpy()
+        c, quiet = np.arange(n), 0
+        for r in range(2 * rounds):
+            if not total or quiet > 1 or not len(u):
+                break
+            size = np.bincount(c, weights=k, minlength=n)
+            pair, which = np.unique(u * n + c[v], return_inverse=True)
+            w, at, to = np.bincount(which, weights=weight), pair // n, pair % n
+            here = to == c[at]
+            gain = np.round(w - k[at] * (size[to] - np.where(here, k[at], 0.0)) / total, 9)
+            order = np.lexsort((to, here, gain, at))
+            best = order[np.append(np.flatnonzero(np.diff(at[order])), len(order) - 1)]
+            stay = np.zeros(n)
+            stay[at[here]] = gain[here]
+            best = best[(odd[at[best]] == r % 2) & (gain[best] > stay[at[best]])]
+            quiet = 0 if np.any(c[at[best]] != to[best]) else quiet + 1
+            c[at[best]] = to[best]
+        label, first, back = np.unique(c, return_index=True, return_inverse=True)
+        community = names.take(pa.array(first[back]))
+        yield from pa.table({"node": names, "community": community}).to_batches(10_000)
+
+    return run
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, one_task: int = ONE_TASK) -> DataFrame:
     """(node, community): greedy modularity by local moves, from singletons.
 
     In every round each node weighs the communities of its neighbours by modularity gain and
     moves to the best; to keep two neighbours from swapping, only nodes of one parity
-    of a hash move in a round.  A community is named by its smallest member.
+    of a hash move in a round.  A community is named by its smallest member.  A graph of one_task
+    ends of edges and nodes at most goes through its rounds in one task, a larger one in joins.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").union(edges.select("b", "a", "weight"))
+    # the rounds read edges from a file, not from what they were made of
+    ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "weight"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+    both = _checkpointed(edges.select(F.inline(ends)))
     degree = both.groupBy("u").agg(F.sum("weight").alias("k"))
     total = degree.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
     lab = _checkpointed(nodes.select("node").join(degree, F.col("node") == F.col("u"), "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("node").alias("c")))
+    if both.count() <= one_task and lab.count() <= one_task:
+        rows = lab.select(F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.col("k").cast("double").alias("w"), F.pmod(F.xxhash64("node"), F.lit(2)).alias("odd"))
+        rows = rows.union(both.select("u", "v", F.col("weight").cast("double"), F.lit(0).cast("bigint")))
+        return rows.coalesce(1).mapInArrow(_rounds_in_task(float(total), rounds), "node string, community string")
     quiet = 0
     for r in range(2 * rounds):
         if not total or quiet > 1:

@@ -256,3 +256,17 @@ def test_long_paper_is_chunked_in_time(spark):
     assert sorted({n for r in rows for n in r["page_numbers"]}) == list(range(4500))
     # a window of 1200 characters of pages of over 1200 lies on one or two of them
     assert all(len(r["page_numbers"]) <= 2 and len(r["text"]) <= 1200 for r in rows)
+
+
+def test_communities_of_a_small_graph_take_few_jobs(spark):
+    """Rounds in one task and rounds in joins agree, and the first need no job for each round."""
+    r = random.Random(5)
+    pairs = {tuple(sorted((f"n{g}é{r.randrange(9)}", f"n{g if r.random() < 0.8 else r.randrange(6)}é{r.randrange(9)}"))) for g in range(6) for _ in range(25)}
+    edges = spark.createDataFrame([(a, b, float(r.randrange(1, 5))) for a, b in sorted(pairs) if a != b], "a string, b string, weight double")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(spark.createDataFrame([("alone",)], "node string")).distinct()
+    sc = spark.sparkContext
+    sc.setJobGroup("small-graph", "")
+    got = sorted(col(graph.communities(nodes, edges, 2), "node", "community"))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("small-graph"))
+    sc.setJobGroup("other", "")
+    assert jobs <= 20 and got == sorted(col(graph.communities(nodes, edges, 2, one_task=0), "node", "community"))
