@@ -18,16 +18,15 @@ and left and right end at the nearest smaller centres.
    SIMILARITY or more and it has MIN_WORDS words or more.
 4. Places of a value that no verified passage covers go on.  A value of FEW
    documents at most links each of them to all earlier ones.  The documents of a
-   more frequent value (a common line, say) are put into classes by what stands
-   around the value: by the exact content of every window of MIN_WINDOW shingles
-   that holds it, and by the RUN shingles before and after it.  Each links to the
-   first document of its class, and steps 2 and 3 follow for these links.
+   more frequent value (a common line, say) meet by the place's shingle, each with
+   the shingles around it.  A window of MIN_WINDOW shingles that holds the place
+   goes on if SIMILARITY of it occurs around the shingle in other documents.  Its
+   exact copies link to the first document that holds it; what else may repeat is
+   compared with every earlier document that shares SIMILARITY of such a window,
+   until all of it is covered.  Steps 2 and 3 follow for these links too.
 
-An exact repeat of MIN_WORDS words or more is thus found however frequent its
-values are: either all are rare, or its windows are a class of their own, whose
-first document holds it too.  A near repeat at the similarity asked for has RUN
-shingles in a row unchanged; one whose values are all frequent is found if the
-first document of one of its classes holds it.
+No value is too frequent: an exact repeat of MIN_WORDS words or more is found, and
+so is a near repeat, whichever of the earlier documents holds it.
 
 Words are split at ASCII white space and compare with A-Z lower-cased.
 
@@ -50,8 +49,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, rolled_shingles, row_key, small, text_batches, text_blocks, tidy, word_hashes
 
 SHINGLE, MIN_WORDS, MIN_WINDOW, N_HASHES, MIN_HASHES, SIMILARITY = 5, 50, 46, 8, 2, 0.8
-#: Most documents of a value that link to all earlier ones of them; shingles in a row around a more frequent one.
-FEW, RUN = 32, 20
+#: Most documents of a value that link to all earlier ones of them; shingles of a window that a near repeat shares.
+FEW, NEED = 32, 37
+#: Candidates that are compared at once, and elements that are sorted at once.
+BLOCK, SORTED = 1 << 10, 1 << 22
 #: The bits of a min-hash value that hold its function's number.
 LAST = 7
 #: Most rows of two 64-bit keys that are broadcast.
@@ -145,7 +146,7 @@ def _shingles(batch):
 
 
 def document_windows(docs: DataFrame) -> DataFrame:
-    """(v, _id, _k, cs) of keyed docs: a row for each document and min-hash value, with all its centres and how far their windows reach."""
+    """(v, _id, _k, c) of keyed docs: a row for each window of a min-hash value, with its centre and how far it reaches."""
 
     def run(batches):
         ids, ks, parts, size = [], [], [], 0
@@ -156,11 +157,7 @@ def document_windows(docs: DataFrame) -> DataFrame:
             for f in range(N_HASHES):
                 v, d, lo, c, r = compact_windows(h, starts, MIN_WINDOW, f)
                 cs = pack(lo, c, r)
-                order = np.lexsort((c, v, d))
-                v, d, cs = v[order], d[order], cs[order]
-                first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])])) if len(v) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(v)).astype(np.int32)), pa.array(cs))
-                yield pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(i[d[first]]), pa.array(k[d[first]]), lists], ["v", "_id", "_k", "cs"])
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(i[d]), pa.array(k[d]), pa.array(cs)], ["v", "_id", "_k", "c"])
             ids.clear(), ks.clear(), parts.clear()
 
         for b in batches:
@@ -174,7 +171,39 @@ def document_windows(docs: DataFrame) -> DataFrame:
         if parts:
             yield from flush()
 
-    return _texts(docs).mapInArrow(tidy(run), "v bigint, _id bigint, _k bigint, cs array<bigint>")
+    return _texts(docs).mapInArrow(tidy(run), "v bigint, _id bigint, _k bigint, c bigint")
+
+
+def _shared(batches):
+    """(v, _id, _k, cs, n, ref_id, ref_k, rcs) from partitions that hold all windows of a value: a row for each document of a value that several have, with all its centres, how many have it, and the first of them with its centres."""
+    rows = _partition(batches)
+    if rows is None:
+        return
+    v, ids, ks, c = (rows.column(x).to_numpy() for x in ("v", "_id", "_k", "c"))
+    del rows
+    order = np.argsort(v)
+    sorted_v = v[order]
+    same = sorted_v[1:] == sorted_v[:-1]
+    order = order[np.append(same, False) | np.append(False, same)]
+    if not len(order):
+        return
+    v, ids, ks, c = v[order], ids[order], ks[order], c[order]
+    order = np.lexsort((c, ks, ids, v))
+    v, ids, ks, c = v[order], ids[order], ks[order], c[order]
+    new_v = np.append(True, v[1:] != v[:-1])
+    doc = np.flatnonzero(new_v | np.append(True, (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])))
+    ends, value = np.append(doc, len(v)), np.flatnonzero(new_v[doc])
+    n = np.diff(np.append(value, len(doc)))
+    ref = np.repeat(value, n)
+    n = np.repeat(n, n)
+    kept = np.flatnonzero(n > 1)
+    for part in np.split(kept, np.arange(1 << 15, len(kept), 1 << 15)):
+        lists = []
+        for x in (part, ref[part]):
+            size = ends[x + 1] - ends[x]
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(c[_span_index(ends[x], size)])))
+        a, r = doc[part], doc[ref[part]]
+        yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(ids[a]), pa.array(ks[a]), lists[0], pa.array(n[part]), pa.array(ids[r]), pa.array(ks[r]), lists[1]], ["v", "_id", "_k", "cs", "n", "ref_id", "ref_k", "rcs"])
 
 
 def _span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -365,63 +394,228 @@ def _linked(links: DataFrame, name: str, need: int = MIN_HASHES) -> DataFrame:
     return materialize(pairs.mapInArrow(tidy(lambda b: _chains(b, need)), "_id bigint, _k bigint, ref_id bigint, ref_k bigint, a0 bigint, a1 bigint, b0 bigint, b1 bigint").distinct(), name)
 
 
-def _firsts(rows: DataFrame, name: str) -> DataFrame:
-    """(v, ref_id, ref_k, rcs): the first document of each value of rows (v, _id, _k, cs)."""
-    # minima are taken in every task first, and the join that follows stands alone, so that Spark may split a value that many documents have
-    first = rows.groupBy("v").agg(F.min(F.struct("_id", "_k", "cs")).alias("ref"))
-    return materialize(first.select("v", F.col("ref._id").alias("ref_id"), F.col("ref._k").alias("ref_k"), F.col("ref.cs").alias("rcs")), name)
+def thinned(h: np.ndarray, place: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last place of each shingle in every MIN_WINDOW - 1 shingles, open if one of those between is: a window of MIN_WINDOW that holds a place holds one of them, so a text that repeats a word has few."""
+    order = np.lexsort((place, place // (MIN_WINDOW - 1), h[place]))
+    place, is_open = place[order], is_open[order]
+    cell, g = place // (MIN_WINDOW - 1), h[place]
+    first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])]))
+    last = np.append(first[1:], len(place)) - 1
+    opened = np.logical_or.reduceat(is_open, first)
+    two = last > first
+    return np.concatenate([place[first], place[last[two]]]), np.concatenate([opened, opened[two]])
 
 
-def _others(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Links of rows to refs of the same value, but not of a document to itself."""
-    return rows.join(refs, "v").where((F.col("_id") != F.col("ref_id")) | (F.col("_k") != F.col("ref_k")))
+def _around(batches):
+    """A row for the listed places of a text that have the same shingle g and the same shingles around them: whether one of them is open, and 32 bits of each shingle up to MIN_WINDOW - 1 before and after them, 0 beyond the text."""
+    reach, seen = np.arange(1 - MIN_WINDOW, MIN_WINDOW), {}
+    for b in batches:
+        ids, ks, asked = b.column("_id").to_numpy(), b.column("_k").to_numpy(), b.column("places")
+        out, rows, size = [], [], 0
 
+        def flush():
+            g, is_open, x, n, place = (np.concatenate(c) for c in zip(*out))
+            row = np.concatenate(rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(place))
+            around = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(np.arange(len(g) + 1, dtype=np.int32) * x.shape[1] * 4), pa.py_buffer(np.ascontiguousarray(x))])
+            out.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[row]), pa.array(ks[row]), lists, pa.array(is_open), around], ["g", "_id", "_k", "places", "open", "around"])
 
-def surroundings(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, place): the classes of what stands around places in a text's shingle hashes: the content of each window of MIN_WINDOW shingles that holds a place, and the RUN shingles from it on and up to it."""
-    n, classes, at = len(hashes), [], []
-    # a window's class is a polynomial in its shingles; sums of doubled width need few passes
-    base = np.uint64(0x9E3779B97F4A7C15)
+        for i, h in _shingles(b):
+            # a place comes twice, once with its last bit set, where it is open
+            marks = np.unique(asked[i].values.to_numpy())
+            last = np.append(marks[1:] >> 1 != marks[:-1] >> 1, True)
+            place, is_open = thinned(h, marks[last] >> 1, (marks[last] & 1).astype(bool))
+            at = place[:, None] + reach
+            x = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)[np.clip(at, 0, len(h) - 1)]
+            x[(at < 0) | (at >= len(h))] = 0
+            with np.errstate(over="ignore"):
+                content = (x * np.multiply.accumulate(np.full(x.shape[1], 0x9E3779B97F4A7C15, np.uint64))).sum(axis=1)
+            order = np.lexsort((place, content, h[place]))
+            place, content = place[order], content[order]
+            first = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]) | (h[place][1:] != h[place][:-1])]))
+            n, opened, me = np.diff(np.append(first, len(place))), np.logical_or.reduceat(is_open[order], first), (int(ids[i]), int(ks[i]))
+            # a closed row is a reference only: the first document with its content will do
+            kept = opened.copy()
+            for k, key in enumerate(zip(h[place[first]].tolist(), content[first].tolist())):
+                if seen.get(key, me) >= me:
+                    seen[key], kept[k] = me, True
+            place, first = place[np.repeat(kept, n)], first[kept]
+            out.append((h[place[np.cumsum(n[kept]) - n[kept]]], opened[kept], x[order[first]], n[kept], place))
+            rows.append(np.full(len(first), i))
+            size += len(first) * x.shape[1]
+            if size >= BATCH:
+                yield flush()
+                size = 0
+        if out:
+            yield flush()
 
-    def rolled(width: int) -> np.ndarray:
-        if n < width:
-            return np.zeros(0, np.uint64)
-        out, have, power = hashes, 1, base
-        for bit in bin(width)[3:]:
-            out = out[: n - 2 * have + 1] * power + out[have : n - have + 1]
-            have, power = 2 * have, power * power
-            if bit == "1":
-                out = out[: n - have] * base + hashes[have:n]
-                have, power = have + 1, power * base
-        return out
 
+def _of_several(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which elements of the rows of x occur in rows of several documents; zeros never do."""
+    flat, owner, out = x.ravel(), np.repeat(doc, x.shape[1]), np.zeros(x.size, bool)
+    parts = -(-x.size // SORTED)
+    for r in range(parts):
+        at = np.flatnonzero((flat % np.uint32(parts) == r) & (flat > 0))
+        if len(at):
+            at = at[np.argsort(flat[at], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], flat[at][1:] != flat[at][:-1]]))
+            several = np.minimum.reduceat(owner[at], first) < np.maximum.reduceat(owner[at], first)
+            out[at] = np.repeat(several, np.diff(np.append(first, len(at))))
+    return out.reshape(x.shape)
+
+
+def _window_sums(flags: np.ndarray, width: int = MIN_WINDOW) -> np.ndarray:
+    """How many flags each window of some elements of a row holds."""
+    sums = np.zeros((len(flags), flags.shape[1] + 1), np.int16)
+    np.cumsum(flags, axis=1, out=sums[:, 1:])
+    return sums[:, width:] - sums[:, :-width]
+
+
+def _spread(windows: np.ndarray) -> np.ndarray:
+    """The elements that windows of MIN_WINDOW elements hold."""
+    edge = np.zeros((len(windows), windows.shape[1] + MIN_WINDOW), np.int16)
+    edge[:, : windows.shape[1]] += windows
+    edge[:, MIN_WINDOW:] -= windows
+    return np.cumsum(edge, axis=1)[:, :-1] > 0
+
+
+def near_places(x: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(row, earlier row, ranges) of what is around one shingle in documents, rows in the order of doc: open rows, each with rows of earlier documents that repeat what is around it.  Ranges of a row's elements are exact copies of a window, with the first row that holds it, or near repeats that are verified."""
+    shared = _of_several(x, doc)
+    alive = _window_sums(shared) >= NEED
+    rows = np.flatnonzero(alive.any(axis=1))
+    if not is_open[rows].any():
+        return []
+    x, shared, alive, doc, is_open = x[rows], shared[rows], alive[rows], doc[rows], is_open[rows]
+    n, width = x.shape
+    # exact copies: the first row of each window's content
+    first, step = np.zeros(alive.shape, np.int64), max(1, SORTED // n)
+    for a in range(0, alive.shape[1], step):
+        b = min(a + step, alive.shape[1])
+        content = np.zeros((n, b - a), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(MIN_WINDOW):
+                content = content * np.uint64(0x9E3779B97F4A7C15) + x[:, a + k : b + k]
+        at, back = np.unique(content.ravel(), return_index=True, return_inverse=True)[1:]
+        first[:, a:b] = (at[back.ravel()] // (b - a)).reshape(n, b - a)
+    exact = (_window_sums(x > 0) == MIN_WINDOW) & (doc[first] < doc[:, None]) & is_open[:, None]
+    copies: dict = {}
+    for i, j in zip(*(c.tolist() for c in np.nonzero(exact))):
+        ranges = copies.setdefault((i, int(first[i, j])), [])
+        if ranges and ranges[-1][1] == j + MIN_WINDOW - 1:
+            ranges[-1] = (ranges[-1][0], j + MIN_WINDOW)
+        else:
+            ranges.append((j, j + MIN_WINDOW))
+    out = [(int(rows[i]), int(rows[j]), ranges) for (i, j), ranges in copies.items()]
+    # what else may be in a repeat
+    left = shared & _spread(alive) & ~_spread(exact) & is_open[:, None]
+    if not left.any():
+        return out
+    names = np.zeros(x.shape, np.int64)
+    words, names[shared] = np.unique(x[shared], return_inverse=True)
+    names[~shared] = len(words)
+    held = np.unique((names * n + np.arange(n)[:, None])[shared])
+    at = np.searchsorted(held, np.arange(len(words) + 1) * n)
+    holders = held % n
+    mark = np.full(len(words) + 1, -1)
+    # copies of what is around are compared once
     with np.errstate(over="ignore"):
-        wide, run = rolled(MIN_WINDOW), rolled(RUN)
-        starts = np.unique((places[:, None] - np.arange(MIN_WINDOW)).ravel())
-        starts = starts[(starts >= 0) & (starts < len(wide))]
-        for kind, h, first in ((0, wide, starts), (1, run, places), (2, run, places - RUN + 1)):
-            ok = (first >= 0) & (first < len(h))
-            classes.append(((h[first[ok]] ^ np.uint64(kind)) * base & ~np.uint64(3)) | np.uint64(kind))
-            at.append((first if kind == 0 else places)[ok])
-    return np.concatenate(classes), np.concatenate(at)
-
-
-def _classes(batches):
-    """A row (v, _id, _k, cs) for each class that the listed places of a text have; a place reaches as far as a passage around it may."""
-    for b in batches:
-        ids, ks, asked, out, rows = b.column("_id").to_numpy(), b.column("_k").to_numpy(), b.column("places"), [], []
-        for i, h in _shingles(b):
-            v, at = surroundings(h, np.unique(asked[i].values.to_numpy()))
-            out.append((v, at)), rows.append(np.full(len(v), i))
-        if not out:
+        content = (x * np.multiply.accumulate(np.full(width, 0x9E3779B97F4A7C15, np.uint64))).sum(axis=1)
+    unlike = np.zeros(n, bool)
+    unlike[np.unique(content, return_index=True)[1]] = True
+    for u in np.flatnonzero(left.any(axis=1)).tolist():
+        before = int(np.searchsorted(doc, doc[u]))
+        mine, which, times = np.unique(names[u][shared[u]], return_inverse=True, return_counts=True)
+        # rarest first: who shares NEED of them holds one outside the most frequent that make less than NEED
+        order = np.argsort(at[mine + 1] - at[mine], kind="stable")
+        rare = mine[order[: len(mine) - np.searchsorted(np.cumsum(times[order][::-1]), NEED)]]
+        found = holders[_span_index(at[rare], at[rare + 1] - at[rare])]
+        count = np.bincount(found[found < before], minlength=1)
+        near = np.flatnonzero(count.astype(bool) & unlike[: len(count)])
+        near = near[np.argsort(-count[near], kind="stable")]
+        mark[mine] = np.arange(len(mine))
+        where, todo = np.flatnonzero(shared[u]), left[u].copy()
+        for part in np.split(near, np.arange(BLOCK, len(near), BLOCK)):
+            if not todo.any():
+                break
+            # which of this row's elements each candidate has
+            has = mark[names[part]]
+            holds = np.zeros((len(part), len(mine) + 1), bool)
+            holds[np.arange(len(part))[:, None], has] = True
+            flags = np.zeros((len(part), width), bool)
+            flags[:, where] = holds[:, which]
+            # shingles of a repeat that only one side has are a quarter of the shared ones at most
+            sums = _window_sums(flags)
+            some = ((sums >= NEED) & (_window_sums(flags & todo) > 0)).any(axis=1)
+            if not some.any():
+                continue
+            part, has, flags, sums, holds = part[some], has[some], flags[some], sums[some], holds[some]
+            alone = (has < 0) & (x[part] > 0)
+            lone = np.repeat(_window_sums(alone, NEED)[:, MIN_WINDOW - NEED :].min(axis=1)[:, None], alive.shape[1], axis=1)
+            if len(mine) == len(where):
+                # where a shingle is nowhere twice: those between a window's first and last shared one
+                at_e = np.zeros((len(part), len(mine) + 1), np.int16)
+                at_e[np.arange(len(part))[:, None], has] = np.arange(width)
+                spots = np.where(flags[:, where], at_e[:, which], -1)
+                low, high = np.full(flags.shape, width, np.int16), np.full(flags.shape, -1, np.int16)
+                low[:, where], high[:, where] = np.where(spots < 0, width, spots), spots
+                for step in (1, 2, 4, 8, 16, MIN_WINDOW - 32):
+                    low, high = np.minimum(low[:, :-step], low[:, step:]), np.maximum(high[:, :-step], high[:, step:])
+                sure = ((has >= 0).sum(axis=1) == flags.sum(axis=1))[:, None] & (high - low < MIN_WINDOW + 4 * SHINGLE) & (high >= low)
+                total = np.zeros((len(part), width + 1), np.int16)
+                np.cumsum(alone, axis=1, out=total[:, 1:])
+                line = np.arange(len(part))[:, None]
+                lone = np.where(sure, np.maximum(lone, total[line, high + 1] - total[line, np.minimum(low, width)]), lone)
+            fits = flags & _spread((sums >= NEED) & (5 * (sums + 1) >= 4 * (MIN_WINDOW + lone)))
+            most = fits.sum(axis=1)
+            for k in np.argsort(-most, kind="stable")[: np.count_nonzero(most)].tolist():
+                if not (fits[k] & todo).any():
+                    continue
+                a, b = np.flatnonzero(x[u]), np.flatnonzero(x[part[k]])
+                runs = [(int(a[s]), int(a[e - 1]) + 1) for s, e in repeated_runs(x[u][a], x[part[k]][b])]
+                if any(todo[s:e].any() for s, e in runs):
+                    out.append((int(rows[u]), int(rows[part[k]]), runs))
+                    for s, e in runs:
+                        todo[s:e] = False
+                    if not todo.any():
+                        break
+        mark[mine] = -1
+    return out
+
+
+def _partition(batches) -> pa.Table | None:
+    """The rows of a partition, if it has any."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
+
+
+def _near_links(batches):
+    """Links of open places to earlier documents with a like place, from partitions that hold all places of a shingle; spans: the word ranges that are verified already."""
+    names = ["v", "_id", "_k", "cs", "ref_id", "ref_k", "rcs", "spans"]
+    rows = _partition(batches)
+    if rows is None:
+        return
+    g, ids, ks = (rows.column(c).to_numpy() for c in ("g", "_id", "_k"))
+    column, lists = rows.column("around").chunk(0), rows.column("places").chunk(0)
+    order = np.lexsort((lists.flatten().to_numpy()[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()], ks, ids, g))
+    g, ids, ks, is_open = g[order], ids[order], ks[order], rows.column("open").to_numpy()[order]
+    around = np.frombuffer(column.buffers()[2], np.uint32, len(g) * (2 * MIN_WINDOW - 1), int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])).reshape(len(g), -1)
+    doc = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1]) | (g[1:] != g[:-1])]))
+    ends = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+    out = {x: [] for x in names}
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if doc[a] == doc[b - 1] or not is_open[a:b].any():
             continue
-        v, at, row = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]), np.concatenate(rows)
-        order = np.lexsort((at, v, row))
-        v, at, row = v[order], at[order], row[order]
-        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])])) if len(v) else np.zeros(0, np.int64)
-        cs = pack(at - MIN_WINDOW, at, at + np.where((v & np.uint64(3)) == 0, 63, MIN_WINDOW))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(v)).astype(np.int32)), pa.array(cs))
-        yield pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(ids[row[first]]), pa.array(ks[row[first]]), lists], ["v", "_id", "_k", "cs"])
+        for i, j, runs in near_places(around[order[a:b]], doc[a:b], is_open[a:b]):
+            i, j = a + i, a + j
+            mine, theirs = (lists[int(order[k])].values.to_numpy() for k in (i, j))
+            spans = [{"s": p + s - MIN_WINDOW + 1, "e": p + e - MIN_WINDOW + SHINGLE} for p in mine.tolist() for s, e in runs]
+            sides = [pack(p - MIN_WINDOW, p, p + MIN_WINDOW) for p in (mine, theirs)]
+            for x, val in zip(names, (g[i], ids[i], ks[i], sides[0], ids[j], ks[j], sides[1], spans)):
+                out[x].append(val)
+    kinds = {"cs": pa.list_(pa.int64()), "rcs": pa.list_(pa.int64()), "spans": pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))}
+    yield from pa.table({x: pa.array(c, kinds.get(x, pa.int64())) for x, c in out.items()}).to_batches(max_chunksize=1 << 14)
 
 
 def _compared(docs: DataFrame, chains: DataFrame, name: str) -> DataFrame:
@@ -448,35 +642,41 @@ def _uncovered(wins: DataFrame, spans: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(_id, _k, spans array<struct<s, e, ref_id>>, n_dup_words) of keyed docs: the word ranges [s, e) of each document that repeat a passage of an earlier one; only documents that have some."""
-    every = materialize(document_windows(docs), "windows", scan=True)
-    shared = every.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    # few values are shared: a table of them in each partition, and no sort of all windows
-    wins = materialize(every.join(shared.hint("shuffle_hash"), "v"), "shared_windows")
-    discard(every)
-    firsts = _firsts(wins, "references")
-    chains = _linked(_others(wins.drop("n"), firsts), "chains")
+    # windows are shuffled once and most values are of one document: those are never written
+    windows = materialize(document_windows(docs).repartition("v").mapInArrow(tidy(_shared), "v bigint, _id bigint, _k bigint, cs array<bigint>, n bigint, ref_id bigint, ref_k bigint, rcs array<bigint>"), "shared_windows", scan=True)
+    chains = _linked(windows.where((F.col("_id") != F.col("ref_id")) | (F.col("_k") != F.col("ref_k"))), "chains")
+    wins = windows.drop("ref_id", "ref_k", "rcs")
     spans = _compared(docs, chains, "first_spans")
     left = materialize(_uncovered(wins, spans), "left_windows")
     # a rare value: all its earlier documents, the first among them again
     earlier = wins.where(F.col("n") <= FEW).select("v", F.col("_id").alias("ref_id"), F.col("_k").alias("ref_k"), F.col("cs").alias("rcs"))
     before = (F.col("ref_id") < F.col("_id")) | ((F.col("ref_id") == F.col("_id")) & (F.col("ref_k") < F.col("_k")))
     more = _linked(left.where(F.col("n") <= FEW).drop("n").join(earlier, "v").where(before), "more_links")
-    # a frequent value: the first document of each class of surroundings
-    frequent = left.where(F.col("n") > FEW)
+    # a frequent value: what stands around its shingle
+    frequent, near = left.where(F.col("n") > FEW), None
     if frequent.limit(1).count():
         asked = wins.where(F.col("n") > FEW).join(frequent.select("v").distinct(), "v", "left_semi")
-        asked = materialize(asked.groupBy("_id", "_k").agg(F.flatten(F.collect_list(F.transform("cs", lambda c: F.shiftright(c, 12)))).alias("places")), "places")
+        marks = lambda rows, is_open: rows.select("_id", "_k", F.transform("cs", lambda c: F.shiftright(c, 12) * 2 + is_open).alias("marks"))
+        asked = materialize(marks(asked, 0).union(marks(frequent, 1)).groupBy("_id", "_k").agg(F.flatten(F.collect_list("marks")).alias("places")), "places")
         texts = _only(_texts(docs), asked.select("_id", "_k")).dropDuplicates(["_id", "_k"])
-        every = materialize(texts.join(asked.hint("shuffle_hash"), ["_id", "_k"]).mapInArrow(tidy(_classes), "v bigint, _id bigint, _k bigint, cs array<bigint>"), "classes", scan=True)
-        common = every.groupBy("v").count().where("count > 1").select("v")
-        classes = materialize(every.join(common.hint("shuffle_hash"), "v", "left_semi"), "common_classes")
-        discard(every, asked)
-        class_firsts = _firsts(classes, "class_references")
-        more = more.union(_linked(_others(classes, class_firsts), "class_links", 1))
-        discard(classes, class_firsts)
+        around = texts.join(asked.hint("shuffle_hash"), ["_id", "_k"]).mapInArrow(tidy(_around), "g bigint, _id bigint, _k bigint, places array<bigint>, open boolean, around binary")
+        near = materialize(around.repartition("g").mapInArrow(tidy(_near_links), "v bigint, _id bigint, _k bigint, cs array<bigint>, ref_id bigint, ref_k bigint, rcs array<bigint>, spans array<struct<s: bigint, e: bigint>>"), "near_links", scan=True)
+        found = _linked(near.drop("spans"), "near_chains", 1)
+        # a passage may go on over places that are covered: all that the two documents share is compared at once too
+        pair = ["_id", "_k", "ref_id", "ref_k"]
+        whole = found.union(chains.join(found.select(*pair).distinct().hint("shuffle_hash"), pair, "left_semi").select(*chains.columns))
+        whole = whole.groupBy(*pair).agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+        more = more.union(found).union(whole)
+        discard(asked)
     more = materialize(more.distinct().join(chains, chains.columns, "left_anti"), "more_chains")
-    discard(wins, firsts, left)
+    discard(windows, left)
     spans = spans.union(_compared(docs, more, "more_spans"))
+    if near is not None:
+        # what is verified around a place, unless the longer comparison has it
+        sure = near.select("_id", "_k", "ref_id", F.explode("spans").alias("x")).select("_id", "_k", "ref_id", "x.s", "x.e").distinct()
+        wider = spans.select(*(F.col(c).alias(f"_{c}") for c in spans.columns))
+        inside = (F.col("__id") == F.col("_id")) & (F.col("__k") == F.col("_k")) & (F.col("_ref_id") == F.col("ref_id")) & (F.col("_s") <= F.col("s")) & (F.col("_e") >= F.col("e"))
+        spans = spans.union(sure.join(wider.hint("shuffle_hash"), inside, "left_anti"))
     spans = spans.groupBy("_id", "_k").agg(F.array_sort(F.collect_set(F.struct("s", "e", "ref_id"))).alias("spans"))
     union = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")))
     return materialize(spans.withColumn("n_dup_words", union["n"]), "spans")

@@ -645,3 +645,34 @@ def test_words_in_names_do_not_drop_article_text():
     assert html_text.main_text(page) == "\n".join([long(1), long(2), long(3), f"a b c d {long(4)}", long(6)])
     bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
     assert html_text.main_text(bare) == html_text.main_text(page)
+
+
+def test_frequent_values_lose_no_near_repeat(spark):
+    """One word of a passage changed in pairs of documents, that no other document repeats, while a hundred hold every part of it in shorter pieces."""
+    passage = words(50, 321).split()
+
+    def text(i, *changed):
+        w = list(passage)
+        for p in changed:
+            w[p] = f"changed{i}"
+        return " ".join([words(30, 10_000 + i), *w, words(30, 20_000 + i)])
+
+    rows = [(i, text(i, *((2, 47) if i % 2 else (8, 41)))) for i in range(100)]
+    rows += [(100 + 2 * k + j, text(100 + 2 * k + j, p)) for k, p in enumerate((20, 30, 25)) for j in (0, 1)]
+    got = marked(spark, rows)
+    assert all(got[i] == [] for i in range(100))
+    for k in range(3):
+        assert got[100 + 2 * k] == [] and {r for _, _, r in got[101 + 2 * k]} == {100 + 2 * k}
+        assert min(s for s, _, _ in got[101 + 2 * k]) == 30 and max(e for _, e, _ in got[101 + 2 * k]) == 80
+
+
+def test_places_around_a_shingle_equal_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 2**32, (80, 2 * passages.MIN_WINDOW - 1), dtype=np.uint32)
+    x[:, 22:68] = x[0, 22:68]
+    for i in range(80):
+        p = int(rng.choice([*range(22, 41), *range(46, 64)]))
+        x[i, p : p + 5] = rng.integers(1, 2**32, 5)
+    want = {(i, k) for i in range(80) for j in range(i) for s, e in passages.repeated_runs(x[i], x[j]) for k in range(s, e)}
+    got = {(i, k) for i, j, runs in passages.near_places(x, np.arange(80), np.ones(80, bool)) for s, e in runs for k in range(s, e)}
+    assert want and got == want
