@@ -59,10 +59,15 @@ LAST = 7
 BROADCAST_KEYS = 1_000_000
 #: Most combinations of places of a document and a reference that are formed one by one, and of several at once.
 REPEATED, MANY = 1 << 12, 1 << 18
-#: Shingles whose windows are searched at once.
+#: Shingles that are handed on at once.
 BATCH = 1 << 18
+#: Shingles whose windows are searched at once, and bytes of text that are hashed at once: their arrays fit a core's cache.
+SEARCHED, HASHED = 1 << 16, 1 << 16
+#: Windows, or links, that are dealt to buckets at once.
+BLOCKED = 1 << 20
 _MIX = np.random.default_rng(11).integers(1, 2**63, size=(16, 2), dtype=np.uint64)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_IN_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 
 
 def _function(h: np.ndarray, f: int) -> np.ndarray:
@@ -138,72 +143,306 @@ def _texts(rows: DataFrame) -> DataFrame:
 def _shingles(batch):
     """(row, hashes): the shingles of each text of a batch."""
     texts = batch.column("text")
-    for a, b in text_blocks(texts):
+    for a, b in text_blocks(texts, HASHED):
         h, n = rolled_shingles(*word_hashes(texts.slice(a, b - a)), SHINGLE)
         end = np.cumsum(n)
         for i in range(b - a):
             yield a + i, h[end[i] - n[i] : end[i]]
 
 
-def document_windows(docs: DataFrame) -> DataFrame:
-    """(v, _id, _k, c) of keyed docs: a row for each window of a min-hash value, with its centre and how far it reaches."""
+def _bucket_keys(n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash partitioning deals to it (MurmurHash3 of an int, seed 42): buckets fill the partitions evenly.  Another hash would cost evenness alone."""
+    keys, start = np.full(n, -1, np.int64), 0
+    while (keys < 0).any():
+        k = np.arange(start, start + 16 * n + 64, dtype=np.uint32)
+        start += len(k)
+        turned = lambda x, by: x << np.uint32(by) | x >> np.uint32(32 - by)
+        h = np.uint32(42) ^ turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = (turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        to = (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % n
+        new = keys[to] < 0
+        keys[to[new][::-1]] = k[new][::-1]
+    return keys.astype(np.int32)
+
+
+def _value_bucket(v: np.ndarray, n: int) -> np.ndarray:
+    return ((v.view(np.uint64) >> np.uint64(3)) % np.uint64(n)).astype(np.int32)
+
+
+def _id_bucket(ids: np.ndarray, n: int) -> np.ndarray:
+    x = ids.view(np.uint64)
+    return ((x ^ x >> np.uint64(11) ^ x >> np.uint64(29)).view(np.int64) % n).astype(np.int32)
+
+
+def _id_bucket_of(c: str, n: int):
+    """The same as a column."""
+    x = F.col(c).bitwiseXOR(F.shiftrightunsigned(c, 11)).bitwiseXOR(F.shiftrightunsigned(c, 29))
+    return F.pmod(x, F.lit(n).cast("bigint")).cast("int")
+
+
+def _blocks(bucket: np.ndarray, columns: dict, lists: dict, names: list[str], keys: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket, with its rows' values end to end as bytes: Spark moves few rows of bytes in place of many of numbers.  lists: (how many values each row has, the values); columns that are not given are empty; keys: what stands for each bucket."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    kept, n = np.unique(bucket, return_counts=True)
+    ends = np.append(0, np.cumsum(n))
+    arrays = {}
+    for x, c in columns.items():
+        arrays[x] = c[order], ends
+    for x, (size, c) in lists.items():
+        first, sorted_size = (np.cumsum(size) - size)[order], size[order]
+        arrays[x] = c[_span_index(first, sorted_size)], np.append(0, np.cumsum(sorted_size))[ends]
+    out = [pa.array(kept if keys is None else keys[kept], pa.int32())]
+    for x in names:
+        c, at = arrays.get(x, (np.zeros(0, np.int64), np.zeros_like(ends)))
+        out.append(pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((at * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]))
+    return pa.RecordBatch.from_arrays(out, ["b", *names])
+
+
+def _unblocked(batches, kinds: dict) -> dict:
+    """The columns of all blocks of a partition, each end to end."""
+    out = {x: [] for x in kinds}
+    for b in batches:
+        for x, parts in out.items():
+            column = b.column(x)
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+            if at[-1] > at[0]:
+                parts.append(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy())
+    return {x: (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kinds[x]) for x, parts in out.items()}
+
+
+def _schema(names) -> str:
+    return ", ".join(["b int", *(f"{x} binary" for x in names)])
+
+
+#: Blocks of windows, with a centre's low and high half apart, the high one being zero nearly always; whether a place is open and its value frequent.
+_WINDOWS = {"v": np.int64, "_id": np.int64, "_k": np.int64, "low": np.uint32, "high": np.uint32}
+_SHARED = _WINDOWS | {"n": np.int32}
+_LEFT = _WINDOWS | {"open": np.uint8, "frequent": np.uint8}
+#: Blocks of links: a value's document and an earlier one, how many places they have of it, and these end to end; marks: places with their documents.
+_LINKS = {"v": np.int64, "_id": np.int64, "_k": np.int64, "n": np.int32, "ref_id": np.int64, "ref_k": np.int64, "n_cs": np.int32, "n_rcs": np.int32, "cs": np.int64, "rcs": np.int64}
+_MARKS = {"mark_id": np.int64, "mark_k": np.int64, "mark": np.int64}
+
+
+def _halves(c: np.ndarray) -> dict:
+    return {"low": (c & 0xFFFFFFFF).astype(np.uint32), "high": (c >> 32).astype(np.uint32)}
+
+
+def _centres(rows: dict) -> np.ndarray:
+    return rows["high"].astype(np.int64) << 32 | rows["low"]
+
+
+def document_windows(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """The windows of keyed docs with their centres and how far they reach, in blocks by their min-hash value."""
 
     def run(batches):
-        ids, ks, parts, size = [], [], [], 0
+        ids, ks, parts, out, size, held = [], [], [], [], 0, 0
 
-        def flush():
+        def searched():
             starts = np.cumsum([0, *map(len, parts)])
             h, i, k = np.concatenate(parts), np.array(ids, np.int64), np.array(ks, np.int64)
             for f in range(N_HASHES):
                 v, d, lo, c, r = compact_windows(h, starts, MIN_WINDOW, f)
-                cs = pack(lo, c, r)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(i[d]), pa.array(k[d]), pa.array(cs)], ["v", "_id", "_k", "c"])
+                out.append((v.view(np.int64), i[d], k[d], pack(lo, c, r)))
             ids.clear(), ks.clear(), parts.clear()
+            return sum(len(x[0]) for x in out[-N_HASHES:])
+
+        def flush():
+            v, i, k, c = (np.concatenate(x) for x in zip(*out))
+            out.clear()
+            return _blocks(_value_bucket(v, len(keys)), {"v": v, "_id": i, "_k": k, **_halves(c)}, {}, list(_WINDOWS), keys)
 
         for b in batches:
             for row, h in _shingles(b):
                 if len(h) >= MIN_WINDOW:
                     ids.append(b.column("_id")[row].as_py()), ks.append(b.column("_k")[row].as_py()), parts.append(h)
                     size += len(h)
-                if size >= BATCH:
-                    yield from flush()
+                if size >= SEARCHED:
+                    held += searched()
                     size = 0
+                if held >= BLOCKED:
+                    yield flush()
+                    held = 0
         if parts:
-            yield from flush()
+            searched()
+        if out:
+            yield flush()
 
-    return _texts(docs).mapInArrow(tidy(run), "v bigint, _id bigint, _k bigint, c bigint")
+    return _texts(docs).mapInArrow(tidy(run), _schema(_WINDOWS))
 
 
-def _shared(batches):
-    """(v, _id, _k, cs, n, ref_id, ref_k, rcs) from partitions that hold all windows of a value: a row for each document of a value that several have, with all its centres, how many have it, and the first of them with its centres."""
-    rows = _partition(batches)
-    if rows is None:
-        return
-    v, ids, ks, c = (rows.column(x).to_numpy() for x in ("v", "_id", "_k", "c"))
-    del rows
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """np.lexsort without the keys that are the same everywhere."""
+    told = [k for k in keys if len(k) and k.min() != k.max()]
+    return np.lexsort(told) if told else np.arange(len(keys[0]))
+
+
+def _by_document(v: np.ndarray, ids: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, value, n) of windows in the order of value and document: where each document of a value begins, which of these begin a value, and how many documents that has."""
+    new_v = np.append(True, v[1:] != v[:-1])
+    doc = np.flatnonzero(new_v | np.append(True, (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])))
+    value = np.flatnonzero(new_v[doc])
+    return doc, value, np.diff(np.append(value, len(doc)))
+
+
+def _shared(batches, keys: np.ndarray):
+    """From all windows of a value: for each document of a value that several have, all its centres, how many have it, and the first of them with its centres (none for the first itself), in blocks by document."""
+    rows = _unblocked(batches, _WINDOWS)
+    v = rows["v"]
     order = np.argsort(v)
     sorted_v = v[order]
     same = sorted_v[1:] == sorted_v[:-1]
-    order = order[np.append(same, False) | np.append(False, same)]
+    order = order[np.append(same, False) | np.append(False, same)] if len(v) else order
     if not len(order):
         return
+    v, ids, ks, c = v[order], rows["_id"][order], rows["_k"][order], _centres({x: rows[x][order] for x in ("low", "high")})
+    del rows, sorted_v, same
+    order = _order(c, ks, ids, v)
     v, ids, ks, c = v[order], ids[order], ks[order], c[order]
-    order = np.lexsort((c, ks, ids, v))
-    v, ids, ks, c = v[order], ids[order], ks[order], c[order]
-    new_v = np.append(True, v[1:] != v[:-1])
-    doc = np.flatnonzero(new_v | np.append(True, (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])))
-    ends, value = np.append(doc, len(v)), np.flatnonzero(new_v[doc])
-    n = np.diff(np.append(value, len(doc)))
-    ref = np.repeat(value, n)
-    n = np.repeat(n, n)
+    doc, value, n = _by_document(v, ids, ks)
+    ends, ref, n = np.append(doc, len(v)), np.repeat(value, n), np.repeat(n, n)
     kept = np.flatnonzero(n > 1)
-    for part in np.split(kept, np.arange(1 << 15, len(kept), 1 << 15)):
-        lists = []
-        for x in (part, ref[part]):
-            size = ends[x + 1] - ends[x]
-            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(c[_span_index(ends[x], size)])))
+    for part in np.split(kept, np.arange(BLOCKED, len(kept), BLOCKED)):
+        if not len(part):
+            continue
         a, r = doc[part], doc[ref[part]]
-        yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(ids[a]), pa.array(ks[a]), lists[0], pa.array(n[part]), pa.array(ids[r]), pa.array(ks[r]), lists[1]], ["v", "_id", "_k", "cs", "n", "ref_id", "ref_k", "rcs"])
+        size = ends[part + 1] - a
+        ref_size = np.where(a == r, 0, ends[ref[part] + 1] - r)
+        columns = {"v": v[a], "_id": ids[a], "_k": ks[a], "n": n[part].astype(np.int32), "ref_id": ids[r], "ref_k": ks[r], "n_cs": size.astype(np.int32), "n_rcs": ref_size.astype(np.int32)}
+        yield _blocks(_id_bucket(ids[a], len(keys)), columns, {"cs": (size, c[_span_index(a, size)]), "rcs": (ref_size, c[_span_index(r, ref_size)])}, list(_LINKS), keys)
+
+
+_CHAIN = ["_id", "_k", "ref_id", "ref_k", "a0", "a1", "b0", "b1"]
+
+
+def _chained(rows: dict, need: int):
+    """The chains of blocks of links, once each."""
+    size, ref_size = rows["n_cs"].astype(np.int64), rows["n_rcs"].astype(np.int64)
+    at = np.flatnonzero(ref_size)
+    heads = [rows[x][at] for x in _CHAIN[:4]]
+    order = _order(*heads[::-1])
+    at, heads = at[order], [x[order] for x in heads]
+    first = np.flatnonzero(np.logical_or.reduce([np.append(True, x[1:] != x[:-1]) for x in heads])) if len(at) else at
+    count = np.diff(np.append(first, len(at)))
+    first, count = first[count >= need], count[count >= need]
+    starts = np.cumsum(size) - size, np.cumsum(ref_size) - ref_size
+    step = max(1, MANY // 16)
+    for a in range(0, len(first), step):
+        f, n = first[a : a + step], count[a : a + step]
+        part = at[_span_index(f, n)]
+        sides = [(rows[x][_span_index(s[part], z[part])], z[part]) for x, s, z in (("cs", starts[0], size), ("rcs", starts[1], ref_size))]
+        found = _chain_batches([x[f] for x in heads], _Links(rows["v"][part], n, sides), need)
+        found = [pd.DataFrame(dict(zip(_CHAIN, x))) for x in found]
+        if found:
+            yield pd.concat(found).drop_duplicates()
+
+
+def _typed(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of some of a schema's columns, the others being null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _first_chains(batches, buckets: int):
+    """From all links of a document to first documents: their chains, and blocks of its windows by document."""
+    rows = _unblocked(batches, _LINKS)
+    if not len(rows["v"]):
+        return
+    schema = pa.schema([*((x, pa.int64()) for x in _CHAIN), ("b", pa.int32()), *((x, pa.binary()) for x in _NAMED)])
+    for found in _chained(rows, MIN_HASHES):
+        yield _typed({x: found[x].to_numpy() for x in _CHAIN}, schema)
+    wins = {x: np.repeat(rows[x], rows["n_cs"]) for x in ("v", "_id", "_k", "n")} | _halves(rows["cs"])
+    b = _blocks(_id_bucket(wins["_id"], buckets), wins, {}, list(_SHARED))
+    yield _typed({"b": b.column("b")} | {f"w{x}": b.column(x) for x in _SHARED}, schema)
+
+
+_NAMED = [f"w{x}" for x in _SHARED]
+
+
+def uncovered(ids: np.ndarray, ks: np.ndarray, place: np.ndarray, spans: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which places of documents no span (id, k, s, e) covers with a whole shingle."""
+    i, k, s, e = spans
+    ids, ks, at = np.concatenate([i, ids]), np.concatenate([k, ks]), np.concatenate([s, place])
+    is_place = np.arange(len(at)) >= len(i)
+    order = _order(is_place, at, ks, ids)
+    ids, ks = ids[order], ks[order]
+    doc = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])))[: len(ids)]
+    # how far the spans of the document go that have begun
+    to = np.maximum.accumulate(doc << 40 | np.concatenate([e, np.zeros(len(place), np.int64)])[order]) & (1 << 40) - 1
+    out = np.zeros(len(at), bool)
+    out[order] = to < at[order] + SHINGLE
+    return out[len(i) :]
+
+
+def _left(batches, keys: np.ndarray):
+    """From blocks of windows and the spans of their documents: the windows, with whether their place is open, in blocks by value."""
+    out, size = [], 0
+
+    def flush():
+        rows = {x: np.concatenate([o[x] for o in out]) for x in _LEFT}
+        out.clear()
+        return _blocks(_value_bucket(rows["v"], len(keys)), rows, {}, list(_LEFT), keys)
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            b = batch.slice(at, 1)
+            rows = _unblocked([b.rename_columns([x.removeprefix("w") if x in _NAMED else x for x in b.schema.names])], _SHARED)
+            spans = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in b.column("spans").flatten().flatten()]
+            is_open = uncovered(rows["_id"], rows["_k"], _centres(rows) >> 12, tuple(spans))
+            frequent = rows.pop("n") > FEW
+            out.append(rows | {"open": is_open.astype(np.uint8), "frequent": frequent.astype(np.uint8)})
+            size += len(frequent)
+            if size >= BLOCKED:
+                yield flush()
+                size = 0
+    if out:
+        yield flush()
+
+
+def _met(batches, keys: np.ndarray):
+    """From all windows of a value, in blocks by document: links of the open places of a rare one to all earlier documents, and the places of a frequent one that has open places."""
+    rows = _unblocked(batches, _LEFT)
+    if not len(rows["v"]):
+        return
+    c, names = _centres(rows), [*_LINKS, *_MARKS]
+    order = _order(c, rows["_k"], rows["_id"], rows["v"])
+    v, ids, ks, c, is_open, frequent = (x[order] for x in (rows["v"], rows["_id"], rows["_k"], c, rows["open"].astype(bool), rows["frequent"].astype(bool)))
+    del rows
+    doc, value, n = _by_document(v, ids, ks)
+    ends, opened = np.append(doc, len(v)), np.add.reduceat(is_open, doc, dtype=np.int64)
+    marked = np.repeat(np.add.reduceat(opened, value) > 0, np.add.reduceat(np.diff(ends), value)) & frequent
+    at = np.flatnonzero(marked)
+    for part in np.split(at, np.arange(BLOCKED, len(at), BLOCKED)):
+        if len(part):
+            yield _blocks(_id_bucket(ids[part], len(keys)), {"mark_id": ids[part], "mark_k": ks[part], "mark": (c[part] >> 12) * 2 + is_open[part]}, {}, names, keys)
+    ref, before = np.repeat(value, n), np.arange(len(doc)) - np.repeat(value, n)
+    mine = np.flatnonzero((opened > 0) & ~frequent[doc] & (before > 0))
+    only, rank = c[is_open], np.append(0, np.cumsum(is_open))
+    for part in np.split(mine, np.arange(BLOCKED // FEW, len(mine), BLOCKED // FEW)):
+        if not len(part):
+            continue
+        d, r = np.repeat(part, before[part]), _span_index(ref[part], before[part])
+        size, ref_size = opened[d], ends[r + 1] - doc[r]
+        a, e = doc[d], doc[r]
+        columns = {"v": v[a], "_id": ids[a], "_k": ks[a], "ref_id": ids[e], "ref_k": ks[e], "n_cs": size.astype(np.int32), "n_rcs": ref_size.astype(np.int32)}
+        yield _blocks(_id_bucket(ids[a], len(keys)), columns, {"cs": (size, only[_span_index(rank[a], size)]), "rcs": (ref_size, c[_span_index(e, ref_size)])}, names, keys)
+
+
+def _more_chains(batches):
+    """From all links and marks of a document: chains, and its marked places."""
+    rows = _unblocked(batches, _LINKS | _MARKS)
+    schema = pa.schema([*((x, pa.int64()) for x in _CHAIN), ("places", pa.list_(pa.int64()))])
+    for found in _chained(rows, MIN_HASHES):
+        yield _typed({x: found[x].to_numpy() for x in _CHAIN}, schema)
+    ids, ks, mark = (rows[x] for x in _MARKS)
+    if len(ids):
+        order = _order(mark, ks, ids)
+        ids, ks, mark = ids[order], ks[order], mark[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1]))
+        kept = np.flatnonzero(new | np.append(True, mark[1:] != mark[:-1]))
+        ids, ks, mark, new = ids[kept], ks[kept], mark[kept], np.flatnonzero(new[kept])
+        yield _typed({"_id": ids[new], "_k": ks[new], "places": pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)).astype(np.int32)), pa.array(mark))}, schema)
 
 
 def _span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -214,16 +453,16 @@ def _span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class _Links:
     """The links of a batch's rows as arrays: for each link its row, value, and places on both sides."""
 
-    def __init__(self, column: pa.ListArray):
-        ends = column.offsets.to_numpy()
-        self.first = (ends - ends[0])[:-1].astype(np.int64)
-        self.count = np.diff(ends).astype(np.int64)
+    def __init__(self, v: np.ndarray, count: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]):
+        """v: the values; count: how many links each row has; sides: the places of all links, end to end, and how many each has."""
+        self.v, self.count, self.first = v, count, np.cumsum(count) - count
+        self.places, self.n = [x for x, _ in sides], [n for _, n in sides]
+        self.at = [np.cumsum(n) - n for n in self.n]
+
+    @classmethod
+    def of_column(cls, column: pa.ListArray):
         v, *sides = column.flatten().flatten()
-        self.v = v.to_numpy()
-        self.places, self.at, self.n = [], [], []
-        for side in sides:
-            ends = side.offsets.to_numpy().astype(np.int64)
-            self.places.append(side.flatten().to_numpy()), self.at.append((ends - ends[0])[:-1]), self.n.append(np.diff(ends))
+        return cls(v.to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64), [(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()).astype(np.int64)) for x in sides])
 
     def of_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of some rows, and the row of each."""
@@ -282,31 +521,43 @@ def _regions(links: _Links, row: int, need: int) -> list[tuple[int, int, int, in
     return list(zip(a0[i].tolist(), a1[i].tolist(), b0[j].tolist(), b1[j].tolist()))
 
 
+def _chain_batches(heads: list[np.ndarray], links: _Links, need: int) -> list[list[np.ndarray]]:
+    """From the links of documents and references (heads: _id, _k, ref_id, ref_k): chains along nearby diagonals, with the range of shingles that each may cover on both sides."""
+    size = np.add.reduceat(links.n[0] * links.n[1], links.first)
+    plain = np.flatnonzero(size <= REPEATED)
+    wide = [(i, *x) for i in np.flatnonzero(size > REPEATED).tolist() for x in _regions(links, i, need)]
+    found = [tuple(np.array(x, np.int64) for x in zip(*wide))] if wide else []
+    for part in np.split(plain, np.flatnonzero(np.diff(np.cumsum(size[plain]) // MANY)) + 1):
+        if len(part):
+            found.append(_chain_rows(links, part, need))
+    # ranges of references are widened to multiples of 32, so that many documents ask for the same one
+    return [[*(h[row] for h in heads), a0, a1, np.maximum(0, b0) // 32 * 32, -(-b1 // 32) * 32] for row, a0, a1, b0, b1 in found]
+
+
 def _chains(batches, need: int):
-    """From the links of a document and a reference: chains along nearby diagonals, with the range of shingles that each may cover on both sides."""
-    names = ["_id", "_k", "ref_id", "ref_k", "a0", "a1", "b0", "b1"]
+    """The chains of rows of links, see _chain_batches."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        heads = [b.column(x).to_numpy(zero_copy_only=False) for x in names[:4]]
-        links = _Links(b.column("links"))
-        size = np.add.reduceat(links.n[0] * links.n[1], links.first)
-        plain = np.flatnonzero(size <= REPEATED)
-        wide = [(i, *x) for i in np.flatnonzero(size > REPEATED).tolist() for x in _regions(links, i, need)]
-        found = [tuple(np.array(x, np.int64) for x in zip(*wide))] if wide else []
-        for part in np.split(plain, np.flatnonzero(np.diff(np.cumsum(size[plain]) // MANY)) + 1):
-            if len(part):
-                found.append(_chain_rows(links, part, need))
-        for row, a0, a1, b0, b1 in found:
-            # ranges of references are widened to multiples of 32, so that many documents ask for the same one
-            cols = [*(h[row] for h in heads), a0, a1, np.maximum(0, b0) // 32 * 32, -(-b1 // 32) * 32]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names)
+        if b.num_rows:
+            heads = [b.column(x).to_numpy(zero_copy_only=False) for x in _CHAIN[:4]]
+            for cols in _chain_batches(heads, _Links.of_column(b.column("links")), need):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], _CHAIN)
+
+
+def _once(batches):
+    """Batches without rows whose document has come before."""
+    seen = set()
+    for b in batches:
+        keys = list(zip(b.column("_id").to_pylist(), b.column("_k").to_pylist()))
+        new = [key not in seen and not seen.add(key) for key in keys]
+        b = b if all(new) else b.filter(pa.array(new, pa.bool_()))
+        if b.num_rows:
+            yield b
 
 
 def _slices(batches):
     """Shingle hashes of the asked ranges of each text."""
     names = ["_id", "_k", "a0", "a1", "own", "hashes"]
-    for b in batches:
+    for b in _once(batches):
         heads = [b.column(x).to_numpy(zero_copy_only=False) for x in names[:2]]
         ends = b.column("asked").offsets.to_numpy().astype(np.int64)
         ends -= ends[0]
@@ -337,28 +588,34 @@ def _slices(batches):
 def repeated_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Maximal ranges [s, e) of shingles of a that are near-duplicates of a range of b."""
     # small numbers in place of hashes, so that a set is an array of flags
-    both, names = np.unique(np.concatenate([a, b]), return_inverse=True)
+    both = np.concatenate([a, b])
+    order = both.argsort()
+    new = np.ones(len(both), bool)
+    new[1:] = both[order[1:]] != both[order[:-1]]
+    names = np.empty(len(both), np.int64)
+    names[order] = new.cumsum() - 1
+    size = int(np.count_nonzero(new))
     a, b = names[: len(a)], names[len(a) :]
-    held = np.zeros(len(both), bool)
+    held = np.zeros(size, bool)
     held[b] = True
     out: list[tuple[int, int]] = []
-    work = [(np.flatnonzero(held[a]), 2 * SHINGLE, False)]
+    work = [(held[a].nonzero()[0], 2 * SHINGLE, False)]
     while work:
         h, gap, failed = work.pop()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(h) > gap + 1) + 1, [len(h)]])
+        cuts = [0, *((h[1:] - h[:-1] > gap + 1).nonzero()[0] + 1).tolist(), len(h)]
         narrower = gap // 2 if gap > 2 else 0
         if failed and len(cuts) == 2:  # this gap does not split what failed as a whole
             if gap > 0:
                 work.append((h, narrower, True))
             continue
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for x, y in zip(cuts[:-1], cuts[1:]):
             if x == y or h[y - 1] + SHINGLE - h[x] < MIN_WORDS:
                 continue
             s, e = int(h[x]), int(h[y - 1]) + 1
-            mine, other = np.zeros(len(both), bool), np.zeros(len(both), bool)
+            mine, other = np.zeros(size, bool), np.zeros(size, bool)
             mine[a[s:e]] = True
-            where = np.flatnonzero(mine[b])
-            far = np.flatnonzero(np.diff(where) > 4 * SHINGLE) + 1
+            where = mine[b].nonzero()[0]
+            far = (where[1:] - where[:-1] > 4 * SHINGLE).nonzero()[0] + 1
             if len(far):  # chance shingles far from the passage
                 ends = np.concatenate([[0], far, [len(where)]])
                 k = int(np.argmax(np.diff(ends)))
@@ -408,8 +665,8 @@ def thinned(h: np.ndarray, place: np.ndarray, is_open: np.ndarray) -> tuple[np.n
 
 def _around(batches):
     """A row for the listed places of a text that have the same shingle g and the same shingles around them: whether one of them is open, and 32 bits of each shingle up to MIN_WINDOW - 1 before and after them, 0 beyond the text."""
-    reach, seen = np.arange(1 - MIN_WINDOW, MIN_WINDOW), {}
-    for b in batches:
+    seen, powers = {}, np.multiply.accumulate(np.full(2 * MIN_WINDOW - 1, 0x9E3779B97F4A7C15, np.uint64))
+    for b in _once(batches):
         ids, ks, asked = b.column("_id").to_numpy(), b.column("_k").to_numpy(), b.column("places")
         out, rows, size = [], [], 0
 
@@ -426,11 +683,10 @@ def _around(batches):
             marks = np.unique(asked[i].values.to_numpy())
             last = np.append(marks[1:] >> 1 != marks[:-1] >> 1, True)
             place, is_open = thinned(h, marks[last] >> 1, (marks[last] & 1).astype(bool))
-            at = place[:, None] + reach
-            x = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)[np.clip(at, 0, len(h) - 1)]
-            x[(at < 0) | (at >= len(h))] = 0
-            with np.errstate(over="ignore"):
-                content = (x * np.multiply.accumulate(np.full(x.shape[1], 0x9E3779B97F4A7C15, np.uint64))).sum(axis=1)
+            line = np.zeros(len(h) + 2 * MIN_WINDOW - 2, np.uint32)
+            line[MIN_WINDOW - 1 : MIN_WINDOW - 1 + len(h)] = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
+            x = np.lib.stride_tricks.sliding_window_view(line, 2 * MIN_WINDOW - 1)[place]
+            content = x.astype(np.uint64) @ powers
             order = np.lexsort((place, content, h[place]))
             place, content = place[order], content[order]
             first = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]) | (h[place][1:] != h[place][:-1])]))
@@ -548,6 +804,8 @@ def near_places(x: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> list[tup
             # shingles of a repeat that only one side has are a quarter of the shared ones at most
             sums = _window_sums(flags)
             some = ((sums >= NEED) & (_window_sums(flags & todo) > 0)).any(axis=1)
+            # fewer than four different shared shingles make no repeat with one that is not shared
+            some &= (holds[:, :-1].sum(axis=1) >= 4) | (sums == MIN_WINDOW).any(axis=1)
             if not some.any():
                 continue
             part, has, flags, sums, holds = part[some], has[some], flags[some], sums[some], holds[some]
@@ -622,8 +880,7 @@ def _compared(docs: DataFrame, chains: DataFrame, name: str) -> DataFrame:
     """(_id, _k, ref_id, s, e): the word ranges of the chains that hold when their shingles are compared."""
     asked = chains.select("_id", "_k", "a0", "a1", F.lit(True).alias("own")).union(chains.select("ref_id", "ref_k", "b0", "b1", F.lit(False))).distinct()
     asked = materialize(asked.groupBy("_id", "_k").agg(F.collect_list(F.struct("a0", "a1", "own")).alias("asked")), "asked")
-    texts = _only(_texts(docs), asked.select("_id", "_k")).dropDuplicates(["_id", "_k"])
-    slices = materialize(texts.join(asked.hint("shuffle_hash"), ["_id", "_k"]).mapInArrow(tidy(_slices), "_id bigint, _k bigint, a0 bigint, a1 bigint, own boolean, hashes binary"), "slices")
+    slices = materialize(_asked_texts(docs, asked).mapInArrow(tidy(_slices), "_id bigint, _k bigint, a0 bigint, a1 bigint, own boolean, hashes binary"), "slices")
     mine = slices.where("own").drop("own")
     refs = slices.where("NOT own").select(F.col("_id").alias("ref_id"), F.col("_k").alias("ref_k"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), F.col("hashes").alias("ref_hashes"))
     both = chains.join(mine, ["_id", "_k", "a0", "a1"]).join(refs, ["ref_id", "ref_k", "b0", "b1"])
@@ -632,34 +889,32 @@ def _compared(docs: DataFrame, chains: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def _uncovered(wins: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of wins without the places that spans cover."""
-    bounds = spans.groupBy("_id", "_k").agg(F.collect_set(F.struct("s", "e")).alias("bounds"))
-    inside = lambda c: F.exists("bounds", lambda x: (F.shiftright(c, 12) >= x["s"]) & (F.shiftright(c, 12) <= x["e"] - SHINGLE))
-    cs = F.when(F.col("bounds").isNull(), F.col("cs")).otherwise(F.filter("cs", lambda c: ~inside(c)))
-    return wins.join(bounds, ["_id", "_k"], "left").withColumn("cs", cs).drop("bounds").where(F.size("cs") > 0)
+def _asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (_id, _k, ...) with the texts of its documents; rows that are equal in both can come several times."""
+    return _only(_texts(docs), asked.select("_id", "_k")).join(asked.hint("shuffle_hash"), ["_id", "_k"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(_id, _k, spans array<struct<s, e, ref_id>>, n_dup_words) of keyed docs: the word ranges [s, e) of each document that repeat a passage of an earlier one; only documents that have some."""
-    # windows are shuffled once and most values are of one document: those are never written
-    windows = materialize(document_windows(docs).repartition("v").mapInArrow(tidy(_shared), "v bigint, _id bigint, _k bigint, cs array<bigint>, n bigint, ref_id bigint, ref_k bigint, rcs array<bigint>"), "shared_windows", scan=True)
-    chains = _linked(windows.where((F.col("_id") != F.col("ref_id")) | (F.col("_k") != F.col("ref_k"))), "chains")
-    wins = windows.drop("ref_id", "ref_k", "rcs")
+    # windows and links move in blocks; most values are of one document: those go no further
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _bucket_keys(n)
+    shared = document_windows(docs, keys).repartition("b").mapInArrow(tidy(lambda b: _shared(b, keys)), _schema(_LINKS))
+    kinds = ", ".join(f"{x} bigint" for x in _CHAIN)
+    first = materialize(shared.repartition("b").mapInArrow(tidy(lambda b: _first_chains(b, n)), f"{kinds}, b int, " + ", ".join(f"{x} binary" for x in _NAMED)), "first_chains", scan=True)
+    chains = first.where("b IS NULL").select(*_CHAIN)
     spans = _compared(docs, chains, "first_spans")
-    left = materialize(_uncovered(wins, spans), "left_windows")
+    bounds = spans.select("_id", "_k", "s", "e").distinct().groupBy(_id_bucket_of("_id", n).alias("b")).agg(F.collect_list(F.struct("_id", "_k", "s", "e")).alias("spans"))
+    wins = first.where("b IS NOT NULL").select("b", *_NAMED).join(bounds.hint("shuffle_hash"), "b", "left")
+    wins = wins.withColumn("spans", F.coalesce("spans", F.array().cast(bounds.schema["spans"].dataType)))
+    met = wins.mapInArrow(tidy(lambda b: _left(b, keys)), _schema(_LEFT)).repartition("b").mapInArrow(tidy(lambda b: _met(b, keys)), _schema([*_LINKS, *_MARKS]))
+    met = materialize(met.repartition("b").mapInArrow(tidy(_more_chains), f"{kinds}, places array<bigint>"), "more_links")
     # a rare value: all its earlier documents, the first among them again
-    earlier = wins.where(F.col("n") <= FEW).select("v", F.col("_id").alias("ref_id"), F.col("_k").alias("ref_k"), F.col("cs").alias("rcs"))
-    before = (F.col("ref_id") < F.col("_id")) | ((F.col("ref_id") == F.col("_id")) & (F.col("ref_k") < F.col("_k")))
-    more = _linked(left.where(F.col("n") <= FEW).drop("n").join(earlier, "v").where(before), "more_links")
+    more = met.where("places IS NULL").select(*_CHAIN)
     # a frequent value: what stands around its shingle
-    frequent, near = left.where(F.col("n") > FEW), None
-    if frequent.limit(1).count():
-        asked = wins.where(F.col("n") > FEW).join(frequent.select("v").distinct(), "v", "left_semi")
-        marks = lambda rows, is_open: rows.select("_id", "_k", F.transform("cs", lambda c: F.shiftright(c, 12) * 2 + is_open).alias("marks"))
-        asked = materialize(marks(asked, 0).union(marks(frequent, 1)).groupBy("_id", "_k").agg(F.flatten(F.collect_list("marks")).alias("places")), "places")
-        texts = _only(_texts(docs), asked.select("_id", "_k")).dropDuplicates(["_id", "_k"])
-        around = texts.join(asked.hint("shuffle_hash"), ["_id", "_k"]).mapInArrow(tidy(_around), "g bigint, _id bigint, _k bigint, places array<bigint>, open boolean, around binary")
+    asked, near = met.where("places IS NOT NULL").select("_id", "_k", "places"), None
+    if asked.limit(1).count():
+        around = _asked_texts(docs, asked).mapInArrow(tidy(_around), "g bigint, _id bigint, _k bigint, places array<bigint>, open boolean, around binary")
         near = materialize(around.repartition("g").mapInArrow(tidy(_near_links), "v bigint, _id bigint, _k bigint, cs array<bigint>, ref_id bigint, ref_k bigint, rcs array<bigint>, spans array<struct<s: bigint, e: bigint>>"), "near_links", scan=True)
         found = _linked(near.drop("spans"), "near_chains", 1)
         # a passage may go on over places that are covered: all that the two documents share is compared at once too
@@ -667,9 +922,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         whole = found.union(chains.join(found.select(*pair).distinct().hint("shuffle_hash"), pair, "left_semi").select(*chains.columns))
         whole = whole.groupBy(*pair).agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
         more = more.union(found).union(whole)
-        discard(asked)
     more = materialize(more.distinct().join(chains, chains.columns, "left_anti"), "more_chains")
-    discard(windows, left)
+    discard(first, met)
     spans = spans.union(_compared(docs, more, "more_spans"))
     if near is not None:
         # what is verified around a place, unless the longer comparison has it
@@ -682,15 +936,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return materialize(spans.withColumn("n_dup_words", union["n"]), "spans")
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """How many words each text of a binary array has."""
+    counts = np.zeros(len(texts), np.int64)
+    for x, y in text_blocks(texts):
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset + x : texts.offset + y + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        begins = _IN_WORD[data]
+        inside = begins.copy()
+        begins[1:] &= ~inside[:-1]
+        first = ends[:-1][np.diff(ends) > 0] - ends[0]
+        begins[first] = inside[first]  # words end with their text
+        counts[x:y] = np.diff(np.searchsorted(np.flatnonzero(begins), ends - ends[0]))
+    return counts
+
+
 def mark_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_dup_words, spans) for every row of docs."""
     docs = keyed(docs)
     found = repeated_passages(docs)
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([len((t or b"").split()) for t in texts], dtype="int64")  # bytes split at ASCII white space
+    @F.arrow_udf("bigint")
+    def words(texts: pa.Array) -> pa.Array:
+        return pa.array(word_counts(texts), pa.int64())
 
     rows = docs.select("doc_id", "_id", "_k", words(F.col("text").cast("binary")).alias("n_words"))
     out = rows.join(found, ["_id", "_k"], "left")

@@ -676,3 +676,66 @@ def test_places_around_a_shingle_equal_brute_force():
     want = {(i, k) for i in range(80) for j in range(i) for s, e in passages.repeated_runs(x[i], x[j]) for k in range(s, e)}
     got = {(i, k) for i, j, runs in passages.near_places(x, np.arange(80), np.ones(80, bool)) for s, e in runs for k in range(s, e)}
     assert want and got == want
+
+
+def test_windows_and_links_move_in_few_blocks(spark):
+    """Rows that Spark shuffles: at most one a task and bucket, not one a window or link; buckets fill the partitions evenly."""
+    from pyspark.sql import functions as F
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in (1, n, 211):
+        keys = passages._bucket_keys(k)
+        got = spark.createDataFrame([(int(x),) for x in keys], "b int").select(F.pmod(F.hash("b"), F.lit(k)).alias("p")).collect()
+        assert [r["p"] for r in got] == list(range(k))
+    df = spark.createDataFrame([(i, words(300, i % 20)) for i in range(400)], "doc_id bigint, text string").repartition(2)
+    keys = passages._bucket_keys(n)
+    blocks = passages.document_windows(passages.keyed(df), keys)
+    held = blocks.collect()
+    assert len(held) <= 2 * n
+    whole = np.concatenate([np.frombuffer(r["v"], np.int64) for r in held])
+    want = [x for i in range(400) for f in range(passages.N_HASHES) for x in _values(words(300, i % 20), f)]
+    assert sorted(whole.tolist()) == sorted(want)
+    for r in held:
+        assert len({int(b) for b in passages._value_bucket(np.frombuffer(r["v"], np.int64), n)}) == 1
+
+
+def _values(text, f):
+    import pyarrow as pa
+
+    from quillflow.llm import common
+
+    h, _ = common.rolled_shingles(*common.word_hashes(pa.array([text.encode()], pa.binary())), passages.SHINGLE)
+    return passages.compact_windows(h, np.array([0, len(h)]), passages.MIN_WINDOW, f)[0].view(np.int64).tolist()
+
+
+def test_id_buckets_agree_with_their_column(spark):
+    ids = [0, 1, -1, 2**62 + 5, -(2**63), 2**63 - 1, *range(1000, 1100)]
+    df = spark.createDataFrame([(i,) for i in ids], "_id bigint").select(passages._id_bucket_of("_id", 13).alias("b"))
+    assert [r["b"] for r in df.collect()] == passages._id_bucket(np.array(ids, np.int64), 13).tolist()
+
+
+def test_uncovered_places_equal_brute_force():
+    rng = np.random.default_rng(3)
+    ids, ks, place = rng.integers(-3, 3, 500), rng.integers(0, 2, 500), rng.integers(0, 200, 500)
+    i, k, s = rng.integers(-3, 3, 20), rng.integers(0, 2, 20), rng.integers(0, 180, 20)
+    e = s + rng.integers(1, 60, 20)
+    want = [not any((a, b) == (c, d) and x <= p <= y - passages.SHINGLE for c, d, x, y in zip(i, k, s, e)) for a, b, p in zip(ids, ks, place)]
+    assert passages.uncovered(ids, ks, place, (i, k, s, e)).tolist() == want and 0 < sum(want) < 500
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from quillflow.llm import common
+
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = status.shuffleStatuses().size()
+    table = common.materialize(spark.range(1000).repartition(7, "id"), "ids")
+    assert status.shuffleStatuses().size() <= before and table.count() == 1000
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_word_counts_equal_split():
+    import pyarrow as pa
+
+    texts = [b"", None, b" A\tb \n", b"ab", b"c", b"  ", b"x y\x0bz\x1cq", "é 日 本".encode()]
+    assert passages.word_counts(pa.array(texts, pa.binary())).tolist() == [len([w for w in re.split(rb"[\x20\x09-\x0D]+", t or b"") if w]) for t in texts]
+    assert passages.word_counts(pa.array(texts, pa.binary()).slice(2, 3)).tolist() == [2, 1, 1]
